@@ -20,7 +20,7 @@ from .byte_bpe import chunks
 #: Labelled rows that are learned from at most: those with the least hashes of their ids.
 SAMPLE_ROWS = 20_000
 THRESHOLD = 0.3
-TREES, DEPTH, BINS, RATE, L2, LEAST_HESSIAN = 60, 4, 64, 0.2, 1.0, 4.0
+TREES, DEPTH, BINS, RATE, L2, LEAST_HESSIAN = 60, 4, 64, 0.2, 1.0, 1.0
 #: Counted kinds of bytes: other, lower case, upper case, digits, blanks, line ends, bytes over 127, ! ? . , and each of some signs.
 SIGNS = "#%&$*|!.,;:'\"(){}[]<>/\\=+-_@~^"
 KIND = np.zeros(256, np.int64)

@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, licenses, media, quality, token_store, url_filters
+from . import byte_bpe, decontamination, licenses, media, near_dups, paragraphs, quality, substrings, token_store, url_filters
 from .common import Scratch, documents, sha_hex, tokenizer_path
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = substrings.remove_repeats(documents(spark, sf_dir), Scratch(spark, "op1"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return got.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), sha_hex(F.col("kept")).alias("kept_sha256"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")).select("doc_id", "held_out", "score", "predicted")
 
@@ -48,6 +54,29 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(documents(spark, sf_dir), Scratch(spark, "op6"), 3, (85, 100)).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+#: Sets by DuckDB: SETS(source of (id, text), words in a shingle) gives (id, s), a row for each distinct shingle.
+def sets_sql(source: str, width: int) -> str:
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"""
+    words AS MATERIALIZED (SELECT id, regexp_extract_all({lower}, '[^\x20\x09-\x0D]+') AS w FROM {source}),
+    sets AS MATERIALIZED (SELECT DISTINCT id, array_to_string(w[i:i + {width - 1}], ' ') AS s FROM (SELECT id, w, unnest(range(1, greatest(len(w) - {width - 1}, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+    sizes AS MATERIALIZED (SELECT id, count(*) AS n FROM sets GROUP BY id),
+    shared AS (SELECT a.id AS a, b.id AS b, count(*) AS n FROM sets a JOIN sets b ON a.s = b.s AND a.id <> b.id GROUP BY ALL)"""
+
+
+OP6_SQL = rf"""
+WITH RECURSIVE source AS (SELECT doc_id AS id, text FROM documents), {sets_sql("source", 3)},
+links AS MATERIALIZED (SELECT a, b FROM shared JOIN sizes x ON x.id = a JOIN sizes y ON y.id = b WHERE 100 * shared.n >= 85 * (x.n + y.n - shared.n)),
+reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least AS (SELECT a AS id, min(b) AS m FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(m, doc_id)) AS kept
+FROM documents LEFT JOIN sizes ON sizes.id = doc_id LEFT JOIN least ON least.id = doc_id"""
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = decontamination.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), Scratch(spark, "op7"))
     return got.select("doc_id", "n_words", "n_hit", "n_items", sha_hex(F.array_join("items", ",").cast("binary")).alias("items_sha256"), "contaminated")
@@ -83,5 +112,21 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op3_url_filters, op4_media, op5_token_store, op7_decontamination, op8_byte_bpe, op9_licenses)}
-ORACLE_SQL = {"op3_url_filters": op3_sql(), "op7_decontamination": OP7_SQL}
+def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = paragraphs.dedup_paragraphs(documents(spark, sf_dir).select("doc_id", "text"), Scratch(spark, "op10"))
+    return got.select("doc_id", "n_paragraphs", "n_removed", F.array_join("removed", ",").alias("removed"), sha_hex(F.coalesce("text", F.lit("")).cast("binary")).alias("kept_sha256"), "text")
+
+
+OP10_SQL = rf"""
+WITH RECURSIVE lines AS (SELECT doc_id, i, line, doc_id * 1000000 + i AS id FROM (SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))),
+source AS (SELECT id, line AS text FROM lines WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= {paragraphs.MIN_WORDS}), {sets_sql("source", 5)},
+links AS MATERIALIZED (SELECT a, b FROM shared JOIN sizes x ON x.id = a JOIN sizes y ON y.id = b WHERE 100 * shared.n >= 80 * (x.n + y.n - shared.n)),
+reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+gone AS (SELECT a AS id FROM reach GROUP BY a HAVING min(b) < a)
+SELECT doc_id, count(source.id) AS n_paragraphs, count(gone.id) AS n_removed, coalesce(string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) FILTER (gone.id IS NOT NULL), '') AS removed,
+sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (gone.id IS NULL), '')) AS kept_sha256, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (gone.id IS NULL), '') AS text
+FROM lines LEFT JOIN source USING (id) LEFT JOIN gone USING (id) GROUP BY doc_id"""
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality, op3_url_filters, op4_media, op5_token_store, op6_near_dups, op7_decontamination, op8_byte_bpe, op9_licenses, op10_paragraph_dedup)}
+ORACLE_SQL = {"op3_url_filters": op3_sql(), "op6_near_dups": OP6_SQL, "op7_decontamination": OP7_SQL, "op10_paragraph_dedup": OP10_SQL}
