@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import tidy
+
 NONE = np.iinfo(np.int64).max
 #: Pieces kept by a worker; the cache is emptied when it is full.
 CACHE_PIECES = 400_000
@@ -181,4 +183,4 @@ def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 at += len(part)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary, decoded binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, ids binary, decoded binary")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import chunks
-from .common import Scratch
+from .common import Scratch, tidy
 from .components import components
 from .shingles import shingle
 
@@ -46,7 +46,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, share: tuple[int, in
                 at += len(part)
 
     a, b = (texts.select(F.col("sh").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInArrow(tidy(run), "a long, b long")
 
 
 def cluster(

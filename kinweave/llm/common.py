@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import tempfile
@@ -41,6 +43,21 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tidy(run):
+    """run, a function for mapInArrow, that gives memory back to the system when a task's rows are done: workers outlive tasks."""
+
+    def tidied(batches):
+        yield from run(batches)
+        import pyarrow as pa
+
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
+
 def row_key() -> Column:
     """64 bits that stand for a row of documents: equal rows share it, and a null id or text is a value like others."""
     return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")), F.coalesce(F.col("text"), F.lit("")))

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .byte_bpe import chunks
+from .common import tidy
 
 #: Bytes that words consist of, after A-Z are lower-cased; all others part words.
 WORDS = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -154,4 +155,4 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
                 at += len(part)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words long, base array<struct<start: bigint, label: string>>, found array<struct<start: bigint, `end`: bigint, label: string, kind: string>>, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, n_words long, base array<struct<start: bigint, label: string>>, found array<struct<start: bigint, `end`: bigint, label: string, kind: string>>, score double")

@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import tidy
+
 UNKNOWN = "application/octet-stream"
 UNIT = 64
 CARVED = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("type", pa.string())]))
@@ -195,7 +197,7 @@ def sniff_media(rows: DataFrame, keep: list[str]) -> DataFrame:
             )
 
     needed = list(dict.fromkeys([*(f.name for f in fields), "media", "declared"]))
-    return rows.select(*needed).mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), SNIFFED]))
+    return rows.select(*needed).mapInArrow(tidy(run), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), SNIFFED]))
 
 
 def wave(payload: bytes, rate: int = 8000) -> bytes:
@@ -230,7 +232,7 @@ def text_media(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) for x in data], pa.int64()), pa.array(media, pa.binary()), pa.array([UNKNOWN] * len(data))], names=["doc_id", "n_bytes", "media", "declared"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary, declared string")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, n_bytes long, media binary, declared string")
 
 
 def read_back(rows: DataFrame) -> DataFrame:
@@ -247,4 +249,4 @@ def read_back(rows: DataFrame) -> DataFrame:
                 features.append(f"{kind};samples={len(payload)};mean={v.mean():.4f};std={v.std():.4f};embedded={len(carved)}")
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(payloads, pa.binary()), pa.array(features, pa.string())], names=[*schema.names, "payload", "feature"])
 
-    return rows.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields), "payload binary, feature string"]))
+    return rows.mapInArrow(tidy(run), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields), "payload binary, feature string"]))

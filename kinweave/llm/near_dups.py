@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import chunks
 from .clustering import cluster
-from .common import Scratch, row_key
+from .common import Scratch, row_key, tidy
 from .components import components
 from .shingles import mix, shingle
 
@@ -55,7 +55,7 @@ def profile(docs: DataFrame, width: int, symbols: int) -> DataFrame:
                 )
                 at += len(part)
 
-    return docs.select(F.col("doc_id").cast("long"), row_key().alias("rk"), "text").mapInArrow(run, "doc_id long, rk long, sh long, n long, sig binary")
+    return docs.select(F.col("doc_id").cast("long"), row_key().alias("rk"), "text").mapInArrow(tidy(run), "doc_id long, rk long, sh long, n long, sig binary")
 
 
 def index_keys(classes: DataFrame, symbols: int) -> DataFrame:
@@ -72,7 +72,7 @@ def index_keys(classes: DataFrame, symbols: int) -> DataFrame:
                 key = np.int64(c * CHUNK + m) << 48 | a << 32 | b << 16 | d
                 yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("sh"), batch.column("n")], names=["key", "sh", "n"])
 
-    return classes.select("sh", "n", "sig").mapInArrow(run, "key long, sh long, n long")
+    return classes.select("sh", "n", "sig").mapInArrow(tidy(run), "key long, sh long, n long")
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, width: int, share: tuple[int, int], symbols: int = 32) -> DataFrame:
@@ -103,7 +103,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int, share: tuple[
         """Pairs that can meet the share by their sizes and are under the distance."""
         a, b = (facts.select(F.col("sh").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}")) for c in "ab")
         both = pairs.join(b, "b").join(a, "a").where(down * F.least("na", "nb") >= up * F.greatest("na", "nb"))
-        return both.select("a", "b", "sa", "sb").mapInArrow(near, "a long, b long")
+        return both.select("a", "b", "sa", "sb").mapInArrow(tidy(near), "a long, b long")
 
     def fetch(wanted: DataFrame) -> DataFrame:
         wanted = wanted.join(classes.select("sh", "rk"), "sh")

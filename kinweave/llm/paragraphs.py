@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import chunks
 from .clustering import cluster
-from .common import Scratch, row_key
+from .common import Scratch, row_key, tidy
 from .components import components
 from .near_dups import hash_constants
 from .shingles import mix, shingle
@@ -49,7 +49,7 @@ def profile(docs: DataFrame, min_words: int) -> DataFrame:
                 )
                 at += len(part)
 
-    return docs.select(row_key().alias("rk"), F.col("doc_id").cast("long"), "text").mapInArrow(run, "rk long, doc_id long, line int, sh long, n long, bands binary")
+    return docs.select(row_key().alias("rk"), F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "rk long, doc_id long, line int, sh long, n long, bands binary")
 
 
 def band_keys(classes: DataFrame) -> DataFrame:
@@ -62,7 +62,7 @@ def band_keys(classes: DataFrame) -> DataFrame:
                 for k in range(BANDS):
                     yield pa.RecordBatch.from_arrays([pa.array(keys[:, k].copy()), batch.column("sh"), batch.column("n")], names=["key", "sh", "n"])
 
-    return classes.select("sh", "n", "bands").mapInArrow(run, "key long, sh long, n long")
+    return classes.select("sh", "n", "bands").mapInArrow(tidy(run), "key long, sh long, n long")
 
 
 def dedup_paragraphs(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> DataFrame:

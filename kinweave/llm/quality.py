@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import chunks
+from .common import tidy
 
 #: Labelled rows that are learned from at most: those with the least hashes of their ids.
 SAMPLE_ROWS = 20_000
@@ -141,7 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     # sample has sample_rows rows at most: that bounds what is broadcast and what comes to the driver
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", F.col("y").cast("int")).mapInArrow(run, f"doc_id {kind}, y int, x array<double>").toPandas()
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", F.col("y").cast("int")).mapInArrow(tidy(run), f"doc_id {kind}, y int, x array<double>").toPandas()
     rows = rows.assign(k=[tuple(x) for x in rows.x]).sort_values(["doc_id", "k"])
     x = np.array(list(rows.k), float).reshape(-1, N_FEATURES)
     return grow(x, (rows.y.to_numpy() > 0).astype(float))
@@ -165,5 +166,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
                 yield pa.RecordBatch.from_arrays([*(c.slice(at, len(part)) for c in batch.columns), pa.array(got)], names=[*schema.names, "score"])
                 at += len(part)
 
-    scored = rest.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields), "score double"]))
+    scored = rest.mapInArrow(tidy(run), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields), "score double"]))
     return scored.withColumns({"held_out": held_out(), "predicted": (F.col("score") >= THRESHOLD).cast("int")})

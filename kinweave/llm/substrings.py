@@ -23,15 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, row_key
+from .common import Scratch, row_key, tidy
 from .shingles import mix, range_hash
 
 LENGTH, GRAM = 200, 64
 #: Bytes of text that are hashed at a time; also the most that a slice of one long text holds.
 SLICE = 1 << 20
 #: Bytes of segments under one suffix array, beyond the group that is under way.
-BATCH = 1 << 20
-GROUP_SEGMENTS = 3000
+BATCH = 1 << 19
+GROUP_SEGMENTS = 1000
 C1, C2 = np.uint64(0x9FB21C651E98DF25), np.uint64(0xA0761D6478BD642F)
 
 
@@ -99,7 +99,7 @@ def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
             if parts:
                 yield out(keys, origins, parts)
 
-    return docs.select(row_key().alias("rk"), "text").where(F.octet_length("text") >= length).mapInArrow(run, "key long, seg long, rk long, place long, many int")
+    return docs.select(row_key().alias("rk"), "text").where(F.octet_length("text") >= length).mapInArrow(tidy(run), "key long, seg long, rk long, place long, many int")
 
 
 def suffix_array(text: np.ndarray, owner: np.ndarray, rest: np.ndarray) -> np.ndarray:
@@ -204,7 +204,8 @@ SPANS_TYPE = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(rk, spans): byte ranges of each text (by its row key) that repeated strings cover; they may overlap. Texts without any are left out."""
     held = scratch.save(anchors(docs, length, gram), "anchors")
-    shared = held.groupBy("key").agg(F.count("*").alias("places")).where("places > 1").select("key")
+    # both sides of the join are read from files: Spark can then split the partition of a frequent key
+    shared = scratch.save(held.groupBy("key").agg(F.count("*").alias("places")).where("places > 1").select("key"), "keys")
     held = scratch.save(held.join(shared, "key"), "shared")
     scratch.drop("anchors")
     # equal segments once, with their count and one of their places
@@ -223,7 +224,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram
                 yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.int64()) for v in columns.values()), pa.array(parts, pa.binary())], names=[*columns, "part"])
 
     texts = docs.select(row_key().alias("rk"), "text").join(cuts, "rk").dropDuplicates(["rk"]).select("text", "cuts")
-    parts = scratch.save(texts.mapInArrow(cut, "key long, seg long, n long, kinds long, part binary"), "parts")
+    parts = scratch.save(texts.mapInArrow(tidy(cut), "key long, seg long, n long, kinds long, part binary"), "parts")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by key."""
@@ -246,7 +247,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram
             yield out()
 
     usual = parts.where(F.col("kinds") <= GROUP_SEGMENTS).select("key", "seg", "n", "part")
-    spans = usual.repartition("key").sortWithinPartitions("key").mapInArrow(expand, f"key long, seg long, {SPANS}")
+    spans = usual.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(expand), f"key long, seg long, {SPANS}")
     huge = parts.where(F.col("kinds") > GROUP_SEGMENTS)
     # groups of one kind of segment, and strings of groups dealt out again: a count is all that is left to see
     same = kinds.join(groups.where("kinds = 1"), "key").where("n > 1").select("key", "seg", F.array(F.struct(F.lit(0).cast("long").alias("start"), (F.col("many") + length - 1).cast("long").alias("stop"))).alias("spans"))
@@ -294,4 +295,4 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()), pa.array(removed, SPANS_TYPE)], names=["doc_id", "n_bytes", "kept", "removed"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, kept binary, removed array<struct<start: bigint, stop: bigint>>")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, n_bytes long, kept binary, removed array<struct<start: bigint, stop: bigint>>")

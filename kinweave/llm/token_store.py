@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, tidy
 
 #: The four lengths that a control byte stands for.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
@@ -123,9 +123,9 @@ def write_store(spark: SparkSession, docs: DataFrame, path: str, end: int, scrat
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("shard"), pa.array(start), batch.column("n"), batch.column("ids")], names=["doc_id", "shard", "start", "n", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"))
-    made = rows.mapInArrow(tokens, "doc_id long, tie long, shard int, n int, ids binary")
+    made = rows.mapInArrow(tidy(tokens), "doc_id long, tie long, shard int, n int, ids binary")
     dealt = made.repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", "tie")
-    held = scratch.save(dealt.mapInArrow(numbered, "doc_id long, shard int, start long, n int, ids binary"), "ids")
+    held = scratch.save(dealt.mapInArrow(tidy(numbered), "doc_id long, shard int, start long, n int, ids binary"), "ids")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
@@ -137,7 +137,7 @@ def write_store(spark: SparkSession, docs: DataFrame, path: str, end: int, scrat
 
     # at most a row for each id of the vocabulary comes to the driver
     total = np.zeros(size, np.int64)
-    for r in held.select("ids").mapInArrow(counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in held.select("ids").mapInArrow(tidy(counted), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         total[r.id] = r.n
     by_rank = np.lexsort((np.arange(size), -total)).astype(np.uint32)
     rank = np.empty(size, np.uint32)
@@ -163,7 +163,7 @@ def write_store(spark: SparkSession, docs: DataFrame, path: str, end: int, scrat
         if part:
             yield closed(last, part)
 
-    stored = scratch.save(held.mapInArrow(blocks, BLOCKS), "store")
+    stored = scratch.save(held.mapInArrow(tidy(blocks), BLOCKS), "store")
     scratch.drop("ids")
     return stored, by_rank
 
@@ -185,4 +185,4 @@ def read_store(stored: DataFrame, by_rank: np.ndarray) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", "ids"],
                 )
 
-    return stored.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return stored.mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids binary")
