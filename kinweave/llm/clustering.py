@@ -1,8 +1,8 @@
 """Clusters of classes whose sets of shingles are alike, from buckets of candidates.
 
 Buckets are not expanded into pairs: members are first compared with their bucket's leader, components are formed, and only
-members that lie in different components are compared further, in the end each with all. Links within a component add
-nothing to it, so none that matters is lost. Candidates are confirmed on their full sets.
+members that lie in different components are compared further. Links within a component add nothing to it, so none that
+matters is lost. Candidates are confirmed on their full sets.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from .shingles import shingle
 
 #: Characters of candidate pairs that a worker compares at a time.
 PAIR_CHARS = 1_000_000
+#: Words of 64 bits in a bitmap of a set; larger sets fill it, and the bound it gives then says less.
+WORDS = 16
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
@@ -49,6 +51,40 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, share: tuple[int, in
     return pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInArrow(tidy(run), "a long, b long")
 
 
+def lone_shingles(texts: DataFrame, width: int) -> DataFrame:
+    """(sh, lone): how many shingles of each of texts(sh, text) no other one has; texts without any are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for part in chunks(batch.column("text").to_pylist(), PAIR_CHARS):
+                got = shingle(part, width)
+                own = batch.column("sh").to_numpy()[at : at + len(part)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, np.diff(got.bounds))), pa.array(got.hashes.view(np.int64))], names=["sh", "h"])
+                at += len(part)
+
+    rows = texts.mapInArrow(tidy(run), "sh long, h long")
+    return rows.groupBy("h").agg(F.count("*").alias("times"), F.min("sh").alias("sh")).where("times = 1").groupBy("sh").agg(F.count("*").alias("lone"))
+
+
+def bitmaps(texts: DataFrame, width: int) -> DataFrame:
+    """(sh, b0, b1, ...): of each of texts(sh, text) a map of ``64 * WORDS`` bits with a bit for each shingle's hash."""
+    names = [f"b{i}" for i in range(WORDS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for part in chunks(batch.column("text").to_pylist(), PAIR_CHARS):
+                got = shingle(part, width)
+                bits = np.zeros((len(part), 64 * WORDS), bool)
+                bits[np.repeat(np.arange(len(part)), np.diff(got.bounds)), (got.hashes % np.uint64(64 * WORDS)).astype(np.int64)] = True
+                words = np.packbits(bits, axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("sh").slice(at, len(part)), *(pa.array(words[:, i].copy()) for i in range(WORDS))], names=["sh", *names])
+                at += len(part)
+
+    return texts.mapInArrow(tidy(run), ", ".join(["sh long", *(f"{n} long" for n in names)]))
+
+
 def cluster(
     members: DataFrame,
     scratch: Scratch,
@@ -60,32 +96,47 @@ def cluster(
     """Confirmed links (a, b) that connect all of members(key, sh, n, leader) that can be linked within their buckets.
 
     n is the size of a class's set; fetch gives (sh, text) of wanted (sh); screen drops pairs that can't be links.
+
+    Shingles that one class alone has are in no intersection: with m shingles that others have too, at most m are shared. In
+    buckets that hold several components all members are compared with the one that has fewest of its own, and then those
+    left apart with each other, if the bounds allow a link: each bit that one bitmap has and the other has not is a shingle
+    that is not shared either.
     """
     up, down = share
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = scratch.save(screen(pairs), f"pairs-{name}")
+        pairs = scratch.save(screen(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), f"pairs-{name}")
         texts = scratch.save(fetch(pairs.select(F.explode(F.array("a", "b")).alias("sh")).distinct()), f"texts-{name}")
         return scratch.save(confirm(pairs, texts, width, share), f"links-{name}")
 
-    links = linked(members.where("sh <> leader").select(F.col("leader").alias("a"), F.col("sh").alias("b")).distinct(), "leader")
-    for name in ("other", "rest"):
+    def apart(rows: DataFrame, links: DataFrame, name: str) -> DataFrame:
+        """Members of buckets with several components, their roots and the bucket's largest one."""
         roots = components(links, scratch, f"roots-{name}")
-        placed = members.join(roots.withColumnRenamed("node", "sh"), "sh", "left").withColumn("root", F.coalesce("root", "sh"))
+        placed = rows.join(roots.withColumnRenamed("node", "sh"), "sh", "left").withColumn("root", F.coalesce("root", "sh"))
         sizes = placed.groupBy("key", "root").agg(F.count("*").alias("size"))
-        # the largest component of each bucket that has several
         mixed = sizes.groupBy("key").agg(F.max(F.struct("size", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1").select("key", F.col("most.root").alias("most"))
-        placed = scratch.save(placed.join(mixed, "key").select("key", "sh", "n", "root", "most"), f"placed-{name}")
-        if placed.isEmpty():
-            break
-        minor = placed.where("root <> most").select("key", F.col("sh").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-        if name == "other":  # one of each bucket's largest component, another one in each bucket
-            lead = placed.where("root = most").groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "sh"), "sh"))["sh"].alias("a"))
-            pairs = minor.join(lead, "key")
-        else:
-            every = placed.select("key", F.col("sh").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), "most")
-            fits = down * F.least("na", "nb") >= up * F.greatest("na", "nb")
-            pairs = minor.join(every, "key").where((F.col("ra") != F.col("rb")) & ((F.col("ra") == F.col("most")) | (F.col("a") < F.col("b"))) & fits)
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = scratch.save(links.union(linked(pairs, name)).distinct(), f"links-after-{name}")
-    return links
+        return scratch.save(placed.join(mixed, "key"), f"apart-{name}")
+
+    links = linked(members.where("sh <> leader").select(F.col("leader").alias("a"), F.col("sh").alias("b")), "leader")
+    placed = apart(members.select("key", "sh", "n"), links, "hub")
+    if placed.isEmpty():
+        return links
+    texts = scratch.save(fetch(placed.select("sh").distinct()), "texts-apart")
+    lone = lone_shingles(texts, width)
+    known = scratch.save(placed.select("sh", "n").distinct().join(lone, "sh", "left").select("sh", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("m")), "known")
+    able = known.where(down * F.col("m") >= up * F.col("n"))
+    rows = scratch.save(placed.select("key", "sh", "root").join(able, "sh"), "able")
+    hubs = rows.groupBy("key").agg(F.max(F.struct(F.col("m") / F.col("n"), "sh", "root")).alias("hub")).select("key", F.col("hub.sh").alias("a"), F.col("hub.root").alias("ra"))
+    links = scratch.save(links.union(linked(rows.join(hubs, "key").where("root <> ra").select("a", F.col("sh").alias("b")), "hub")).distinct(), "links-2")
+    placed = apart(rows.drop("root"), links, "rest")
+    if placed.isEmpty():
+        return links
+    placed = placed.join(bitmaps(texts, width), "sh")
+    a, b = (placed.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("sh", "n", "m", "root", "most", *(f"b{i}" for i in range(WORDS))))) for side in "ab")
+    lacks = lambda x, y: sum((F.bit_count(F.col(f"b{i}_{x}").bitwiseAND(F.bitwise_not(f"b{i}_{y}"))) for i in range(WORDS)), F.lit(0))
+    shared = F.least("m_a", "m_b")
+    fits = lambda shared: down * shared >= up * (F.col("n_a") + F.col("n_b") - shared)
+    once = (F.col("root_a") == F.col("most_a")) | (F.col("sh_a") < F.col("sh_b"))
+    able = fits(shared) & fits(F.col("n_a") - lacks("a", "b")) & fits(F.col("n_b") - lacks("b", "a"))  # the cheap bound first
+    pairs = b.where("root_b <> most_b").withColumnRenamed("key", "key_b").join(a, (F.col("key_b") == F.col("key")) & (F.col("root_a") != F.col("root_b")) & once & able)
+    return scratch.save(links.union(linked(pairs.select(F.col("sh_a").alias("a"), F.col("sh_b").alias("b")), "rest")).distinct(), "links-3")
