@@ -36,33 +36,27 @@ def upto(c: Column, n: Column, length: int) -> Column:
     return F.slice(c, 1, F.greatest(n - length + 1, F.lit(0)))
 
 
-def runs_hash(h: Column, length: int) -> Column:
-    """Hashes of the runs of so many words, by doubling; the last length - 1 places hold leftovers."""
-    mix = lambda a, b: F.xxhash64(a, b)
-    have = {1: h}
-    while 2 * max(have) <= length:
-        k = max(have)
-        have[2 * k] = shifted(have[k], have[k], k, mix)
-    k = max(have)
-    return have[k] if k == length else shifted(have[k], have[k], length - k, mix)
-
-
-def least(h: Column, width: int) -> Column:
-    """Least value in each window of so many places."""
-    k = 1
-    while 2 * k <= width:
-        h = shifted(h, h, k, lambda a, b: F.least(a, b))
-        k *= 2
-    return h if k == width else shifted(h, h, width - k, lambda a, b: F.least(a, b))
+def doubled(rows: DataFrame, column: str, length: int, f) -> tuple[DataFrame, str]:
+    """rows with a column that combines each run of so many places of ``column``, and its name.
+
+    Each doubling is a column of its own: an expression that holds another one twice would work it out twice.
+    """
+    k, name = 1, column
+    while k < length:
+        step = min(k, length - k)
+        k, last, name = k + step, name, f"{column}_{k + step}"
+        rows = rows.withColumn(name, shifted(F.col(last), F.col(last), step, f))
+    return rows, name
 
 
 def selected(rows: DataFrame, length: int, winnow: bool) -> DataFrame:
-    """rows(w, n) with ``fp``: for each run of so many words, the hash that stands for it."""
+    """rows(w, n) with ``fp``: for each run of so many words, the hash that stands for it; empty for fewer words."""
     rows = rows.withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
-    if not winnow:
-        return rows.withColumn("fp", upto(runs_hash(F.col("h"), length), F.col("n"), length))
-    rows = rows.withColumn("g", upto(runs_hash(F.col("h"), GRAM), F.col("n"), GRAM))
-    return rows.withColumn("fp", upto(least(F.col("g"), length - GRAM + 1), F.col("n"), length))
+    rows, name = doubled(rows, "h", GRAM if winnow else length, lambda a, b: F.xxhash64(a, b))
+    if winnow:
+        rows = rows.withColumn("g", upto(F.col(name), F.col("n"), GRAM))
+        rows, name = doubled(rows, "g", length - GRAM + 1, lambda a, b: F.least(a, b))
+    return rows.withColumn("fp", upto(F.col(name), F.col("n"), length))
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -89,7 +83,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> Da
     found = []
     for k in lengths:
         wanted = small(scratch.save(selected(runs.where(F.col("len") == k), k, k == WINDOW).select(F.explode("fp").alias("fp")).distinct(), f"wanted-{k}"))
-        here = selected(texts.where(F.col("n") >= k), k, k == WINDOW).select("rk", F.explode(F.array_distinct("fp")).alias("fp"))
+        here = selected(texts, k, k == WINDOW).select("rk", F.explode(F.array_distinct("fp")).alias("fp"))
         found.append(here.join(wanted, "fp").groupBy("rk").agg(F.collect_set("fp").alias("hits")).select("rk", F.lit(k).alias("len"), "hits"))
     plain = docs.withColumn("n_words", F.size(words(F.col("text"))).cast("long"))
     if not found:
