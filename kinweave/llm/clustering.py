@@ -131,12 +131,12 @@ def cluster(
     placed = apart(rows.drop("root"), links, "rest")
     if placed.isEmpty():
         return links
-    placed = placed.join(bitmaps(texts, width), "sh")
-    a, b = (placed.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("sh", "n", "m", "root", "most", *(f"b{i}" for i in range(WORDS))))) for side in "ab")
+    placed = placed.join(bitmaps(texts, width), "sh").join(placed.groupBy("sh").agg(F.collect_set("key").alias("keys")), "sh")
+    a, b = (placed.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("sh", "n", "m", "root", "most", "keys", *(f"b{i}" for i in range(WORDS))))) for side in "ab")
     lacks = lambda x, y: sum((F.bit_count(F.col(f"b{i}_{x}").bitwiseAND(F.bitwise_not(f"b{i}_{y}"))) for i in range(WORDS)), F.lit(0))
     shared = F.least("m_a", "m_b")
     fits = lambda shared: down * shared >= up * (F.col("n_a") + F.col("n_b") - shared)
     once = (F.col("root_a") == F.col("most_a")) | (F.col("sh_a") < F.col("sh_b"))
     able = fits(shared) & fits(F.col("n_a") - lacks("a", "b")) & fits(F.col("n_b") - lacks("b", "a"))  # the cheap bound first
-    pairs = b.where("root_b <> most_b").withColumnRenamed("key", "key_b").join(a, (F.col("key_b") == F.col("key")) & (F.col("root_a") != F.col("root_b")) & once & able)
+    pairs = b.where("root_b <> most_b").withColumnRenamed("key", "key_b").join(a, (F.col("key_b") == F.col("key")) & (F.col("root_a") != F.col("root_b")) & once & able & (F.col("key") == F.array_min(F.array_intersect("keys_a", "keys_b"))))  # a pair comes from the least bucket it shares
     return scratch.save(links.union(linked(pairs.select(F.col("sh_a").alias("a"), F.col("sh_b").alias("b")), "rest")).distinct(), "links-3")
