@@ -9,6 +9,7 @@ whole and any store can hold.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,8 +22,10 @@ from .common import Scratch, tidy
 
 #: The four lengths that a control byte stands for.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
-#: Chunks (between white space) kept by a worker; the cache is emptied when it is full.
-CACHE_CHUNKS = 600_000
+#: Chunks (between white space) and plain words kept by a worker; a cache is emptied when it is full.
+CACHE_CHUNKS, CACHE_WORDS = 700_000, 700_000
+#: A word of Latin letters and the ASCII signs behind it, which the tokenizer always parts and lower-cases.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 #: A block is closed at so many ids; a longer document is a block of its own.
 BLOCK_IDS = 1 << 16
 SPACE = str.maketrans("\n\r\t", "   ")
@@ -48,25 +51,44 @@ def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
 
 
 class Chunked:
-    """A tokenizer whose words never reach over white space: chunks are encoded once and kept."""
+    """A tokenizer whose words never reach over white space: chunks are encoded once and kept.
+
+    Most chunks are a word and signs; of those only the lower-cased word and the signs are given to the tokenizer.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache = Tokenizer.from_file(path), {}
+        self.tokenizer, self.cache, self.words = Tokenizer.from_file(path), {}, {}
         self.size = self.tokenizer.get_vocab_size()
+        probe = "Straße,", "straße", ","
+        ids = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in probe]
+        self.parts = ids[0] == ids[1] + ids[2]  # else every chunk goes to the tokenizer whole
+
+    def learn(self, items: list[str], kind: str, into: dict[str, bytes]) -> None:
+        for i in range(0, len(items), 20_000):
+            part = items[i : i + 20_000]
+            encoded = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            into.update((c, np.array(e.ids, kind).tobytes()) for c, e in zip(part, encoded, strict=True))
 
     def encode(self, texts: list[str], end: int, kind: str) -> list[bytes]:
         split = [x.translate(SPACE).split(" ") for x in texts]
         wanted = {c for chunks in split for c in chunks}
         if len(self.cache) + len(wanted) > CACHE_CHUNKS:
             self.cache.clear()
-        new = list(wanted.difference(self.cache))
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            encoded = self.tokenizer.encode_batch(part, add_special_tokens=False)
-            self.cache.update((c, np.array(e.ids, kind).tobytes()) for c, e in zip(part, encoded, strict=True))
+        whole, pairs = [], []
+        for c in wanted.difference(self.cache):
+            if self.parts and (m := PLAIN.fullmatch(c)):
+                pairs.append((c, m[1].lower(), m[2]))
+            else:
+                whole.append(c)
+        self.learn(whole, kind, self.cache)
+        self.learn(list({w for p in pairs for w in p[1:]}.difference(self.words)), kind, self.words)
+        words = self.words
+        self.cache.update((c, words[a] + words[b]) for c, a, b in pairs)
+        if len(words) > CACHE_WORDS:
+            words.clear()
         last, found = np.array([end], kind).tobytes(), self.cache.__getitem__
         return [b"".join(map(found, chunks)) + last for chunks in split]
 
@@ -130,8 +152,7 @@ def write_store(spark: SparkSession, docs: DataFrame, path: str, end: int, scrat
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for x in batch.column("ids").to_pylist():
-                total += np.bincount(np.frombuffer(x, kind), minlength=size)
+            total += np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), kind), minlength=size)
         at = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
 

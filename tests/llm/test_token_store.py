@@ -19,6 +19,7 @@ def test_round_trip(values):
 
 def test_chunks_equal_the_library(texts):
     c = Chunked(PATH)
+    texts = [*texts, "The, THE... don't Don't's it's. 'S x'S a<|endoftext|> Ärger! ÀÉ×÷ ǅ ŒŸ ÿ,ß; É́ o'clock! the's' A_b a1b2.", "e\u0301, x\u00a0y. z\u3000w! \x1ca,"]
     for text, got in zip(texts, c.encode(texts, 2, "<u2"), strict=True):
         assert np.frombuffer(got, "<u2").tolist() == [*c.tokenizer.encode(text, add_special_tokens=False).ids, 2]
 
