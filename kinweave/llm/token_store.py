@@ -26,6 +26,8 @@ LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 CACHE_CHUNKS, CACHE_WORDS = 700_000, 700_000
 #: A word of Latin letters and the ASCII signs behind it, which the tokenizer always parts and lower-cases.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+#: Words that are given to the tokenizer as one text.
+WORDS_TOGETHER = 200
 #: A block is closed at so many ids; a longer document is a block of its own.
 BLOCK_IDS = 1 << 16
 SPACE = str.maketrans("\n\r\t", "   ")
@@ -65,6 +67,9 @@ class Chunked:
         probe = "Straße,", "straße", ","
         ids = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in probe]
         self.parts = ids[0] == ids[1] + ids[2]  # else every chunk goes to the tokenizer whole
+        self.ends = np.zeros(self.size, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
 
     def learn(self, items: list[str], kind: str, into: dict[str, bytes]) -> None:
         for i in range(0, len(items), 20_000):
@@ -72,6 +77,18 @@ class Chunked:
             encoded = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
             into.update((c, np.array(e.ids, kind).tobytes()) for c, e in zip(part, encoded, strict=True))
 
+    def learn_words(self, words: list[str], kind: str) -> None:
+        """Plain words and runs of signs: each ends with its one token that ends a word, so that many can be encoded as one text."""
+        groups = [words[i : i + WORDS_TOGETHER] for i in range(0, len(words), WORDS_TOGETHER)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, kind)
+            cuts = ((np.nonzero(self.ends[ids])[0] + 1) * ids.itemsize).tolist()
+            if len(cuts) != len(group):
+                self.learn(group, kind, self.words)
+                continue
+            raw = ids.tobytes()
+            self.words.update((w, raw[a:b]) for w, a, b in zip(group, [0, *cuts], cuts, strict=False))
+
     def encode(self, texts: list[str], end: int, kind: str) -> list[bytes]:
         split = [x.translate(SPACE).split(" ") for x in texts]
         wanted = {c for chunks in split for c in chunks}
@@ -84,7 +101,8 @@ class Chunked:
             else:
                 whole.append(c)
         self.learn(whole, kind, self.cache)
-        self.learn(list({w for p in pairs for w in p[1:]}.difference(self.words)), kind, self.words)
+        self.words[""] = b""
+        self.learn_words(list({w for p in pairs for w in p[1:]}.difference(self.words)), kind)
         words = self.words
         self.cache.update((c, words[a] + words[b]) for c, a, b in pairs)
         if len(words) > CACHE_WORDS:
