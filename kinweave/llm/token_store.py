@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, tidy
+from .shingles import range_hash
 
 #: The four lengths that a control byte stands for.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
@@ -31,6 +32,9 @@ WORDS_TOGETHER = 200
 #: A block is closed at so many ids; a longer document is a block of its own.
 BLOCK_IDS = 1 << 16
 SPACE = str.maketrans("\n\r\t", "   ")
+IS_SPACE = np.isin(np.arange(256), [ord(x) for x in " \n\r\t"])
+#: Texts of more characters in all are not put into arrays, which take some 60 bytes for each.
+ARRAY_CHARS = 4_000_000
 BLOCKS = "doc_ids array<long>, starts array<long>, counts array<int>, shard int, control binary, data binary"
 
 
@@ -60,13 +64,17 @@ class Chunked:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer, self.cache, self.words = Tokenizer.from_file(path), {}, {}
+        self.plain = Tokenizer.from_file(path)  # for plain words and signs, which normalizing leaves alone and blanks part
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.size = self.tokenizer.get_vocab_size()
         probe = "Straße,", "straße", ","
         ids = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in probe]
-        self.parts = ids[0] == ids[1] + ids[2]  # else every chunk goes to the tokenizer whole
+        alike = ids[1] + ids[2] == self.plain.encode(" ".join(probe[1:]), add_special_tokens=False).ids
+        self.parts = alike and ids[0] == ids[1] + ids[2]  # else every chunk goes to the tokenizer whole
         self.ends = np.zeros(self.size, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
@@ -80,7 +88,7 @@ class Chunked:
     def learn_words(self, words: list[str], kind: str) -> None:
         """Plain words and runs of signs: each ends with its one token that ends a word, so that many can be encoded as one text."""
         groups = [words[i : i + WORDS_TOGETHER] for i in range(0, len(words), WORDS_TOGETHER)]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+        for group, e in zip(groups, self.plain.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, kind)
             cuts = ((np.nonzero(self.ends[ids])[0] + 1) * ids.itemsize).tolist()
             if len(cuts) != len(group):
@@ -89,9 +97,8 @@ class Chunked:
             raw = ids.tobytes()
             self.words.update((w, raw[a:b]) for w, a, b in zip(group, [0, *cuts], cuts, strict=False))
 
-    def encode(self, texts: list[str], end: int, kind: str) -> list[bytes]:
-        split = [x.translate(SPACE).split(" ") for x in texts]
-        wanted = {c for chunks in split for c in chunks}
+    def know(self, wanted: set[str], kind: str) -> None:
+        """Puts chunks into the cache."""
         if len(self.cache) + len(wanted) > CACHE_CHUNKS:
             self.cache.clear()
         whole, pairs = [], []
@@ -107,9 +114,47 @@ class Chunked:
         self.cache.update((c, words[a] + words[b]) for c, a, b in pairs)
         if len(words) > CACHE_WORDS:
             words.clear()
-        last, found = np.array([end], kind).tobytes(), self.cache.__getitem__
+
+    def encode(self, texts: list[str], end: int, kind: str) -> list[bytes]:
+        """The ids of each text, and the end id."""
+        last = np.array([end], kind).tobytes()
+        if sum(map(len, texts)) <= ARRAY_CHARS and (got := self.encode_arrays(texts, kind)) is not None:
+            return [x + last for x in got]
+        split = [x.translate(SPACE).split(" ") for x in texts]
+        self.know({c for chunks in split for c in chunks}, kind)
+        found = self.cache.__getitem__
         return [b"".join(map(found, chunks)) + last for chunks in split]
 
+    def encode_arrays(self, texts: list[str], kind: str) -> list[bytes] | None:
+        """Equal chunks are found by hashes and looked up once; None if two different ones share a hash."""
+        parts = [t.encode() for t in texts]
+        raw = b" ".join([*parts, b""])
+        data = np.frombuffer(raw, np.uint8)
+        gap = IS_SPACE[data]
+        edges = np.diff(np.concatenate([[True], gap]).astype(np.int8))  # the last byte is a gap
+        starts, ends = np.nonzero(edges == -1)[0], np.nonzero(edges == 1)[0]
+        if not len(starts):
+            return [b""] * len(texts)
+        length = ends - starts
+        _, first, which = np.unique(range_hash(data, starts, ends), return_index=True, return_inverse=True)
+        model = first[which]
+        if (length != length[model]).any():
+            return None
+        at = np.nonzero(~gap)[0]
+        if (data[at] != data[at + np.repeat(starts[model] - starts, length)]).any():
+            return None
+        distinct = [raw[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        self.know(set(distinct), kind)
+        coded = [self.cache[c] for c in distinct]
+        ids = np.frombuffer(b"".join(coded), kind)
+        n = np.array([len(x) for x in coded]) // ids.itemsize
+        count = n[which]
+        stops = np.cumsum(count)
+        out = ids[np.arange(stops[-1]) + np.repeat((np.cumsum(n) - n)[which] - (stops - count), count)].tobytes()
+        words = np.searchsorted(starts, np.cumsum([len(p) + 1 for p in parts]))
+        cuts = (np.concatenate([[0], stops])[words] * ids.itemsize).tolist()
+        return [out[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+
 
 @lru_cache(maxsize=2)
 def loaded(path: str) -> Chunked:
@@ -135,7 +180,7 @@ def write_store(spark: SparkSession, docs: DataFrame, path: str, end: int, scrat
         encoder = loaded(path)
         for batch in batches:
             at = 0
-            for part in chunks(batch.column("text").to_pylist()):
+            for part in chunks(batch.column("text").to_pylist(), ARRAY_CHARS // 2):
                 coded = encoder.encode(part, end, kind)
                 rows = batch.slice(at, len(part))
                 key = rows.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
