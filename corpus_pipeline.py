@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import byte_bpe, decontamination, near_dups, paragraphs, quality
+from kinweave.llm import byte_bpe, decontamination, near_dups, paragraphs, passages, quality
 from kinweave.llm.common import Scratch, documents, row_key, tokenizer_path
 
 
@@ -24,8 +24,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_paragraphs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, without paragraphs that stand earlier too; n_chars follows the text."""
-    left = paragraphs.dedup_paragraphs(docs, Scratch(spark, "stage10"))
+    """All rows, without paragraphs that stand earlier too, then without passages that do, whatever their lines; n_chars follows the text."""
+    scratch, lines = Scratch(spark, "stage10"), Scratch(spark, "stage10-lines")
+    left = scratch.save(paragraphs.dedup_paragraphs(docs, lines).select(docs.columns), "lines")
+    lines.drop("")
+    left = passages.drop_passages(left, scratch)
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return left.select(docs.columns)
