@@ -59,7 +59,9 @@ def from_documents(docs: DataFrame) -> DataFrame:
     size = rows.groupBy("block").agg(F.count("*").alias("size"), F.min("doc_id").alias("least"))
     source = F.when(F.col("size") == 1, 1 + F.col("doc_id") % 3).when(F.col("doc_id") == F.col("least"), 1).when(F.col("doc_id") % 2 == 0, 2).otherwise(3)
     rows = rows.join(size, "block").withColumn("source", source.cast("int"))
-    return rows.select(F.concat(F.lit("S"), F.col("source"), F.lit("-"), F.lpad(F.col("doc_id").cast("string"), 6, "0")).alias("entity_id"), "business_name", "business_address", "country", "source", "block")
+    number = F.col("doc_id").cast("string")
+    number = F.when(F.length(number) < 6, F.lpad(number, 6, "0")).otherwise(number)  # lpad cuts longer ones
+    return rows.select(F.concat(F.lit("S"), F.col("source"), F.lit("-"), number).alias("entity_id"), "business_name", "business_address", "country", "source", "block")
 
 
 def document_truth(records: DataFrame) -> DataFrame:
