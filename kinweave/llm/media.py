@@ -106,18 +106,34 @@ def bmp(data: bytes, at: int) -> tuple[str, int] | None:
 
 
 def pdf(data: bytes, at: int) -> tuple[str, int] | None:
-    end = data.find(b"%%EOF", at)
-    good = data[at + 5 : at + 6].isdigit() and data[at + 6 : at + 7] == b"." and end > 0 and data.rfind(b"startxref", at, end) > 0
-    return ("application/pdf", end + 5 - at) if good else None
+    """Up to the last end mark with a startxref of its own before the next header: each update adds one."""
+    if not (data[at + 5 : at + 6].isdigit() and data[at + 6 : at + 7] == b"."):
+        return None
+    header = data.find(b"%PDF-", at + 5)
+    last, stop, end = at, -1, data.find(b"%%EOF", at)
+    while end >= 0 and (last == at or header < 0 or end < header):  # the first one counts even behind a further header, of an embedded file
+        if data.rfind(b"startxref", last, end) > 0:
+            stop = end + 5
+        last, end = end + 5, data.find(b"%%EOF", end + 5)
+    return ("application/pdf", stop - at) if stop > 0 else None
+
+
+@lru_cache(maxsize=1)
+def archives(data: bytes) -> dict[int, int]:
+    """Start and end of each archive whose end record's offsets fit; a stored archive within another has its own."""
+    found, end = {}, data.find(b"PK\x05\x06")
+    while 0 <= end <= len(data) - 22:
+        size, start, note = struct.unpack_from("<IIH", data, end + 12)
+        at = end - size - start
+        if at >= 0 and data[at + start : at + start + 4] in (b"PK\x01\x02", b"PK\x05\x06") and end + 22 + note <= len(data):
+            found.setdefault(at, end + 22 + note)
+        end = data.find(b"PK\x05\x06", end + 1)
+    return found
 
 
 def zipped(data: bytes, at: int) -> tuple[str, int] | None:
-    end = data.find(b"PK\x05\x06", at)
-    if end < 0 or end + 22 > len(data):
-        return None
-    size, start, note = struct.unpack_from("<IIH", data, end + 12)
-    good = at + start + size == end and data[at + start : at + start + 4] in (b"PK\x01\x02", b"PK\x05\x06")
-    return ("application/zip", end + 22 + note - at) if good and end + 22 + note <= len(data) else None
+    end = archives(data).get(at)
+    return ("application/zip", end - at) if end else None
 
 
 def gzipped(data: bytes, at: int) -> tuple[str, int] | None:
