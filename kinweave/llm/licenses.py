@@ -21,11 +21,15 @@ from .common import tidy
 WORDS = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 #: Phrases and the labels that they give.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Public wordings. The first group are notices of a few words, the others whole texts.
+#: Public wordings. The first group are notices, the others whole texts; of gpl, mpl-2 and apache-2 there are notices only.
 NOTICES = {
     "gpl": ["<<any:4>> under the <<optional>> terms of the <<end>> gnu general public license <<optional>> version <<any:2>> <<end>>"],
     "mit": ["released under the mit license", "licensed under the mit license"],
-    "apache-2": ["licensed under the apache license version 2 0", "licensed under the apache license version 2"],
+    "apache-2": [
+        "licensed under the apache license version 2 0",
+        "licensed under the apache license version 2",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at <<any:8>> unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+    ],
     "cc-by-nc": ["licensed under <<optional>> a creative commons attribution noncommercial <<end>> cc by nc <<any:2>>"],
     "bsd": ["<<any:3>> under the <<optional>> terms of the <<end>> <<any:2>> bsd license"],
     "mpl-2": ["subject to the terms of the mozilla public license v 2 0"],
@@ -38,9 +42,8 @@ TEXTS = {
         "permission to use copy modify and <<optional>> or <<end>> distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and <<any:4>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall <<any:4>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"
     ],
     "bsd": [
-        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<any:1>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<any:1>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution <<optional>> <<any:1>> neither the name of <<any:8>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission <<end>> this software is provided by <<any:8>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<any:1>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<any:1>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution <<optional>> <<any:1>> neither the name of <<any:8>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission <<end>> this software is provided by <<any:8>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <<any:8>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
     ],
-    "apache-2": ["licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at"],
 }
 #: A whole text weighs more than a notice, and a notice more than a bare phrase.
 SCORES = {"text": 1.0, "notice": 0.9, "phrase": 0.6}
