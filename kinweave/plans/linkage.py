@@ -218,7 +218,7 @@ def gbt_scores(spark, sf_dir):
     w = World(spark, sf_dir)
     rows = metrics.labels(w.set_features(), w.links).cache()
     columns = [c for c in features.model_columns(rows) if c != "votes"]
-    return model.cross_validate(rows, columns, 3, trees=10)[1]
+    return model.cross_validate(rows, columns, 3)[1]
 
 
 def streaming_matches(spark, sf_dir):
