@@ -1,7 +1,7 @@
 """Text normalization as column expressions.
 
-Latin letters are reduced by one fixed mapping; text of other scripts stays as it is. NFKC, for which there is no built-in
-function, is a pandas UDF that can be put before all others.
+Latin, Cyrillic and Greek letters are reduced to plain ones by one mapping; text of other scripts stays as it is. NFKC, for which
+there is no built-in function, is a pandas UDF that files of records go through once, when they are loaded.
 """
 
 from __future__ import annotations
@@ -20,8 +20,19 @@ ABBREVIATIONS = [
     ("road", "rd"), ("street", "st"), ("avenue", "ave"), ("boulevard", "blvd"), ("drive", "dr"), ("lane", "ln"), ("highway", "hwy"), ("route", "rte"),
     ("apartment", "apt"), ("suite", "ste"), ("floor", "fl"), ("madhya pradesh", "mp"), ("uttar pradesh", "up"),
 ]
-ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ", "aaaaaaceeeeiiiinoooooouuuuyy"
-DOUBLES = [("ß", "ss"), ("æ", "ae"), ("œ", "oe")]
+LATIN = ("øłđħŧıðŋ", "oldhtidn")
+CYRILLIC = ("абвгдезийклмнопрстуфыэёіїґў", "abvgdeziiklmnoprstufyeeiigu")
+GREEK = ("αβγδεζηικλμνξορσςτυωάέήίόύώϊϋΐΰ", "abgdezeiklmnxorsstuoaeeiouoiuiu")
+SILENT = "ьъ"
+DOUBLES = [
+    ("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("þ", "th"), ("ĳ", "ij"), ("ж", "zh"), ("х", "kh"), ("ц", "ts"), ("ч", "ch"), ("ш", "sh"), ("щ", "shch"), ("ю", "iu"), ("я", "ia"), ("є", "ie"),
+    ("θ", "th"), ("φ", "ph"), ("χ", "kh"), ("ψ", "ps"), ("π", "p"),
+]
+# By rule: a small Latin letter with marks is the letter that its decomposition begins with.
+MARKED = [(chr(i), unicodedata.normalize("NFD", chr(i))[0]) for i in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))]
+MARKED = [(a, b) for a, b in MARKED if a != b and "a" <= b <= "z"]
+ACCENTED = "".join(a for a, _ in MARKED) + LATIN[0] + CYRILLIC[0] + GREEK[0] + SILENT  # those without a counterpart go
+PLAIN = "".join(b for _, b in MARKED) + LATIN[1] + CYRILLIC[1] + GREEK[1]
 SEPARATORS = r"[^\p{L}\p{N}_\s]"
 
 

@@ -12,9 +12,10 @@ CAP, POOL, TOP = 256, 1500, 60
 
 
 def prepare(records: DataFrame) -> DataFrame:
-    """records with name_norm, name_core, address_norm, original_norm, combined_norm and country_key; done once, before any join."""
+    """records with all that is worked out once for each, before any join: normal forms, their words, digit runs and the country's key."""
     rows = records.withColumns({"name_norm": T.normalize_latin(F.col("business_name")), "address_norm": T.normalize_address(F.col("business_address")), "original_norm": T.normalize_text(F.col("business_name")), "country_key": T.country_key(F.col("country"))})
     rows = rows.withColumn("name_core", T.core_name(F.col("name_norm")))
+    rows = rows.withColumns({"core_tokens": F.array_distinct(T.tokens(F.col("name_core"))), "address_tokens": F.array_distinct(T.tokens(F.col("address_norm"))), "digits": F.array_distinct(T.digit_runs(T.normalize_latin(F.col("business_address"))))})
     return rows.withColumn("combined_norm", F.concat_ws(" ", "name_core", "name_norm", "address_norm"))
 
 
@@ -60,10 +61,15 @@ def usable_blocks(target_keys: DataFrame, cap: int = CAP) -> DataFrame:
     return target_keys.join(block_sizes(target_keys).where(F.col("postings") <= cap).select("key"), "key", "left_semi")
 
 
+def count_votes(query_keys: DataFrame, usable: DataFrame) -> DataFrame:
+    """(q, t, votes): keys that queries share with usable postings."""
+    q = query_keys.select(F.col("entity_id").alias("q"), "key")
+    return q.join(usable.withColumnRenamed("entity_id", "t"), "key").groupBy("q", "t").agg(F.count("*").alias("votes"))
+
+
 def votes(query_keys: DataFrame, target_keys: DataFrame, cap: int = CAP) -> DataFrame:
     """(q, t, votes): shared keys in usable blocks."""
-    q = query_keys.select(F.col("entity_id").alias("q"), "key")
-    return q.join(usable_blocks(target_keys, cap).withColumnRenamed("entity_id", "t"), "key").groupBy("q", "t").agg(F.count("*").alias("votes"))
+    return count_votes(query_keys, usable_blocks(target_keys, cap))
 
 
 def top(rows: DataFrame, n: int, *order: Column, by: str = "q") -> DataFrame:

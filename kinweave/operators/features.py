@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import similarity as S
-from ..functions.text import digit_runs, normalize_latin, tokens
 from .blocking import with_records
 
 RETRIEVAL = ["char_name", "char_address", "bm25"]
+#: Columns of prepared records that the features look at.
+SET_COLUMNS = ["name_norm", "name_core", "address_norm", "core_tokens", "address_tokens", "digits", "country"]
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -19,8 +20,8 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def containment(a: Column, b: Column) -> Column:
-    """0 if either set is empty."""
-    least = F.least(F.size(F.array_distinct(a)), F.size(F.array_distinct(b)))
+    """Of arrays without repeats; 0 if either is empty."""
+    least = F.least(F.size(a), F.size(b))
     return F.when(least == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(least, F.lit(1)))
 
 
@@ -35,13 +36,12 @@ def edit_similarity(a: Column, b: Column) -> Column:
 
 
 def set_features(q: str = "q_", t: str = "t_") -> dict[str, Column]:
-    """Features that are column expressions."""
+    """Features that are column expressions over SET_COLUMNS of both records."""
     c = lambda side, name: F.col(f"{side}{name}")
     both = lambda name: (c(q, name), c(t, name))
     flag = lambda condition: condition.cast("double")
     name, core, address = both("name_norm"), both("name_core"), both("address_norm")
-    digits = tuple(F.array_distinct(digit_runs(normalize_latin(x))) for x in both("business_address"))
-    core_tokens, address_tokens = ([F.array_distinct(tokens(x)) for x in pair] for pair in (core, address))
+    core_tokens, address_tokens, digits = both("core_tokens"), both("address_tokens"), both("digits")
     exact = lambda pair: flag((pair[0] == pair[1]) & (pair[0] != ""))
     conflict = (F.size(digits[0]) > 0) & (F.size(digits[1]) > 0) & (F.size(F.array_intersect(*digits)) == 0)
     return {
@@ -66,8 +66,7 @@ def string_features(q: str = "q_", t: str = "t_") -> dict[str, Column]:
 
 def pair_features(pairs: DataFrame, queries: DataFrame, targets: DataFrame) -> DataFrame:
     """pairs(q, t, retrieval scores) with all features, from prepared records; the features are 32-bit floats."""
-    columns = ["name_norm", "name_core", "address_norm", "original_norm", "business_address", "country"]
-    rows = with_records(pairs, queries, targets, columns)
+    rows = with_records(pairs, queries, targets, [*SET_COLUMNS, "original_norm"])
     made = set_features() | string_features()
     rows = rows.select("q", "t", *RETRIEVAL, "retrieval_methods", *(e.cast("float").alias(n) for n, e in made.items()))
     return rows.withColumns({c: F.col(c).cast("float") for c in [*RETRIEVAL, "retrieval_methods"]})

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+EXAMPLES = 5
 MATCHES, CANDIDATES = ["source1_entity_id", "matched_entity_ids"], ["source1_entity_id", "candidate_entity_ids"]
 
 
@@ -20,23 +21,28 @@ def write_tsv(rows: DataFrame, path: str, single: bool = False) -> None:
     (rows.coalesce(1) if single else rows).write.mode("overwrite").csv(path, sep="\t", header=True, emptyValue="", quote="")
 
 
-def findings(rows: DataFrame, column: str, required: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """(rule, n): how often each rule is broken by rows(source1_entity_id, <ids>); required(entity_id), known(entity_id)."""
+def broken_rules(rows: DataFrame, column: str, required: DataFrame, known: DataFrame | None = None) -> dict[str, DataFrame]:
+    """What breaks each rule, as (what), of rows(source1_entity_id, <ids>); required(entity_id), known(entity_id)."""
     ids = rows.select("source1_entity_id", F.filter(F.split(F.coalesce(column, F.lit("")), ","), lambda x: F.trim(x) != "").alias("ids"))
     each = ids.select("source1_entity_id", F.explode("ids").alias("id"))
     seen, wanted = rows.select("source1_entity_id").distinct(), required.select(F.col("entity_id").alias("source1_entity_id")).distinct()
     rules = {
         "duplicate_row": ids.groupBy("source1_entity_id").agg(F.count("*").alias("n")).where("n > 1"),
         "repeated_id": ids.where(F.size("ids") != F.size(F.array_distinct("ids"))),
-        "reference_id": each.where(F.col("id").startswith("S1-")),
-        "bad_prefix": each.where(~F.substring("id", 1, 3).isin("S1-", "S2-", "S3-")),
+        "reference_id": each.where(F.col("id").startswith("S1-")).select("id"),
+        "bad_prefix": each.where(~F.substring("id", 1, 3).isin("S1-", "S2-", "S3-")).select("id"),
         "missing_row": wanted.join(seen, "source1_entity_id", "left_anti"),
         "extra_row": seen.join(wanted, "source1_entity_id", "left_anti"),
     }
     if known is not None:
-        rules["unknown_id"] = each.join(known.select(F.col("entity_id").alias("id")), "id", "left_anti")
+        rules["unknown_id"] = each.join(known.select(F.col("entity_id").alias("id")), "id", "left_anti").select("id")
+    return {rule: broken.select(F.col(broken.columns[0]).alias("what")) for rule, broken in rules.items()}
+
+
+def findings(rows: DataFrame, column: str, required: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(rule, n): how often each rule is broken."""
     out = None
-    for rule, broken in rules.items():
+    for rule, broken in broken_rules(rows, column, required, known).items():
         row = broken.agg(F.count("*").alias("n")).select(F.lit(rule).alias("rule"), "n")
         out = row if out is None else out.unionByName(row)
     return out
@@ -49,19 +55,48 @@ def outside_candidates(matches: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def validate_file(spark: SparkSession, path: str, columns: list[str], required: DataFrame, known: DataFrame | None = None) -> list[str]:
-    """Messages about a file; none if it is good. Rows are judged in place, and at most five examples come to the driver."""
-    lines = spark.read.text(path).where("trim(value) <> ''")
+    """Messages about a file; none if it is good. Rows are judged in place, and at most five examples of each rule come to the driver."""
+    try:
+        lines = spark.read.text(path)
+        if not lines.where(~F.is_valid_utf8("value")).isEmpty():
+            return ["the file is not UTF-8"]
+        lines = lines.where("trim(value) <> ''")
+        first = lines.first()
+    except Exception as failure:  # a missing or unreadable file is a finding
+        return [f"the file can't be read: {type(failure).__name__}"]
     head = "\t".join(columns)
-    first = lines.first()
     if first is None:
         return ["the file is empty"]
-    if first.value.replace("﻿", "").strip().lower() != head:
+    if first.value.replace("\ufeff", "").strip().lower() != head:
         return ["the header has commas for tabs"] if "," in first.value and "\t" not in first.value else [f"the header is not {head!r}"]
     body = lines.where(F.lower(F.trim("value")) != head)
-    messages = [f"no tab: {r.value[:60]}" for r in body.where(~F.col("value").contains("\t")).limit(5).collect()]
+    messages = [f"no tab: {r.value[:60]}" for r in body.where(~F.col("value").contains("\t")).limit(EXAMPLES).collect()]
     parts = F.split("value", "\t", 2)
     rows = body.where(F.col("value").contains("\t")).select(F.trim(F.get(parts, F.lit(0))).alias(columns[0]), F.trim(F.get(parts, F.lit(1))).alias(columns[1]))
-    return messages + [f"{r.rule}: {r.n}" for r in findings(rows, columns[1], required, known).where("n > 0").collect()]
+    rules = broken_rules(rows, columns[1], required, known)
+    for r in findings(rows, columns[1], required, known).where("n > 0").collect():
+        examples = [x.what for x in rules[r.rule].distinct().orderBy("what").limit(EXAMPLES).collect()]
+        messages.append(f"{r.rule}: {r.n}, as {', '.join(examples)}")
+    return messages
+
+
+def read_result(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.csv(path, sep="\t", header=True, quote="").na.fill("")
+
+
+def validate(spark: SparkSession, matches: str, candidates: str | None, required: DataFrame, known: DataFrame | None = None) -> tuple[list[str], list[str]]:
+    """Errors and warnings about a file of matches and, if there is one, of candidates."""
+    errors, warnings = [f"matches: {m}" for m in validate_file(spark, matches, MATCHES, required, known)], []
+    if known is None:
+        warnings.append("ids were not checked against the targets")
+    if candidates is None:
+        return errors, [*warnings, "there is no file of candidates"]
+    more = [f"candidates: {m}" for m in validate_file(spark, candidates, CANDIDATES, required, known)]
+    if not errors and not more:
+        lost = outside_candidates(read_result(spark, matches), read_result(spark, candidates))
+        if n := lost.count():
+            errors.append(f"{n} matches are no candidates, as {', '.join(r.id for r in lost.orderBy('source1_entity_id', 'id').limit(EXAMPLES).collect())}")
+    return errors + more, warnings
 
 
 def merge_parts(parts: DataFrame, queries: DataFrame) -> DataFrame:

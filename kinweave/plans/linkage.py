@@ -2,24 +2,36 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..functions import text as T
-from ..operators import blocking, features, metrics, model, outputs, retrieval
+from ..operators import blocking, features, index, metrics, model, outputs, retrieval
 from ..sources import tables
 from ..streaming import incremental
 
-CAP, TOP, THRESHOLD = 32, 60, 0.5
+CAP, POOL, THRESHOLD = blocking.CAP, blocking.POOL, 0.5
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.from_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see; a new one only in local mode, where the session names none."""
+    path = spark.conf.get("spark.checkpoint.dir", "")
+    if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that the driver and all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="kinweave-")
+    return path.rstrip("/")
+
+
 class World:
     """Prepared records and the usual steps over them; every step is a plan, nothing is run."""
 
@@ -34,11 +46,10 @@ class World:
         return blocking.votes(blocking.blocking_keys(self.queries), blocking.blocking_keys(self.targets), CAP)
 
     def pool(self) -> DataFrame:
-        return blocking.pool(self.votes(), TOP)
+        return blocking.pool(self.votes(), POOL)
 
     def set_features(self) -> DataFrame:
-        columns = ["name_norm", "name_core", "address_norm", "business_address", "country"]
-        rows = blocking.with_records(self.pool(), self.queries, self.targets, columns)
+        rows = blocking.with_records(self.pool(), self.queries, self.targets, features.SET_COLUMNS)
         return rows.select("q", "t", "votes", *(F.round(e, 9).alias(n) for n, e in features.set_features().items()))
 
     def scored(self) -> DataFrame:
@@ -102,7 +113,7 @@ def vote_pool_topk(spark, sf_dir):
 
 def rerank_topk(spark, sf_dir):
     w = World(spark, sf_dir)
-    return blocking.retrieve(w.queries, w.targets, CAP)
+    return blocking.retrieve(w.queries, w.targets, CAP).withColumns({c: F.round(c, 9) for c in ("char_name", "char_address")})
 
 
 def candidate_lists(spark, sf_dir):
@@ -123,17 +134,17 @@ def rounded(rows: DataFrame, *columns: str) -> DataFrame:
 
 def char_tfidf_topk(spark, sf_dir):
     w = World(spark, sf_dir)
-    return rounded(retrieval.char_method(w.queries, w.targets, "name_core", 10), "score")
+    return rounded(retrieval.char_method(w.queries, w.targets, "name_core", retrieval.TOP_NAME), "score")
 
 
 def bm25_topk(spark, sf_dir):
     w = World(spark, sf_dir)
-    return rounded(retrieval.word_method(w.queries, w.targets, 10), "score")
+    return rounded(retrieval.word_method(w.queries, w.targets, retrieval.TOP_WORDS), "score")
 
 
 def method_union(spark, sf_dir):
     w = World(spark, sf_dir)
-    return rounded(retrieval.retrieve(w.queries, w.targets, 10, 10, 10), *features.RETRIEVAL)
+    return rounded(retrieval.retrieve(w.queries, w.targets), *features.RETRIEVAL)
 
 
 def pair_set_features(spark, sf_dir):
@@ -149,7 +160,8 @@ def pair_jaro_winkler(spark, sf_dir):
 def pair_features(spark, sf_dir):
     """All features of the blocking path's candidates."""
     w = World(spark, sf_dir)
-    return features.blocking_names(features.rank_features(features.pair_features(blocking.retrieve(w.queries, w.targets, CAP), w.queries, w.targets)))
+    rows = features.blocking_names(features.rank_features(features.pair_features(blocking.retrieve(w.queries, w.targets, CAP), w.queries, w.targets)))
+    return rows.select(*(F.round(F.col(c).cast("double"), 6).alias(c) if kind in ("float", "double") else c for c, kind in rows.dtypes))
 
 
 def rank_features(spark, sf_dir):
@@ -224,10 +236,9 @@ def gbt_scores(spark, sf_dir):
 def streaming_matches(spark, sf_dir):
     """The same matches as linear_match, by a stream of files and committed batches."""
     w = World(spark, sf_dir)
-    base = spark.conf.get("spark.checkpoint.dir", "") or "file://" + tempfile.mkdtemp(prefix="kinweave-")
-    folder = f"{base.rstrip('/')}/stream-{abs(hash(sf_dir))}-{spark.sparkContext.startTime}-{id(w)}"
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     w.records.where("source = 1").select(tables.FIELDS).write.parquet(f"{folder}/incoming")
-    incremental.run(spark, f"{folder}/incoming", w.targets, folder, CAP, THRESHOLD)
+    incremental.run(spark, f"{folder}/incoming", w.targets, folder, CAP, THRESHOLD, pool=POOL)
     return spark.read.parquet(f"{folder}/results").select("source1_entity_id", "matched_entity_ids")
 
 
@@ -237,7 +248,7 @@ def part_merge(spark, sf_dir):
     queries, out = w.records.where("source = 1"), None
     for part in range(3):
         mine = queries.where(model.fold_of(F.col("entity_id"), 3) == part)
-        rows = incremental.match_batch(mine, w.targets, CAP, THRESHOLD)
+        rows = incremental.match_batch(mine, index.in_plan(w.targets, CAP), THRESHOLD, POOL)
         out = rows if out is None else out.unionByName(rows)
     return outputs.merge_parts(out, queries)
 

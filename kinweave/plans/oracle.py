@@ -1,10 +1,13 @@
-"""The queries of plans.linkage as DuckDB SQL. Where an expression is too slow there (longest common subsequences) or there is none, none is given."""
+"""The queries of plans.linkage as DuckDB SQL. For trained trees there is none."""
 
 from __future__ import annotations
 
+from ..functions import similarity as S
 from ..functions import text as T
+from ..operators.blocking import TOP
 from ..operators.metrics import GRID
-from .linkage import CAP, THRESHOLD, TOP
+from ..operators.retrieval import TOP_ADDRESS, TOP_NAME, TOP_WORDS
+from .linkage import CAP, POOL, THRESHOLD
 
 
 def cleaned(x: str) -> str:
@@ -23,6 +26,12 @@ ACCENTS = f"'{T.ACCENTED}', '{T.PLAIN}'"
 LEGAL = ", ".join(f"'{x}'" for x in T.LEGAL_SUFFIXES)
 
 
+def doubled(x: str) -> str:
+    for a, b in T.DOUBLES:
+        x = f"replace({x}, '{a}', '{b}')"
+    return x
+
+
 def abbreviated(x: str) -> str:
     for a, b in T.ABBREVIATIONS:
         x = rf"regexp_replace({x}, '\b{a}\b', '{b}', 'g')"
@@ -33,7 +42,7 @@ def latin(x: str, out: str, table: str) -> str:
     """A step at a time: each CTE reads the one before."""
     return f"""
 {out}_1 AS MATERIALIZED (SELECT *, {cleaned(x)} AS z FROM {table}),
-{out}_2 AS MATERIALIZED (SELECT * EXCLUDE (z), replace(replace(replace(translate(z, {ACCENTS}), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe') AS z FROM {out}_1),
+{out}_2 AS MATERIALIZED (SELECT * EXCLUDE (z), {doubled(f"translate(z, {ACCENTS})")} AS z FROM {out}_1),
 {out}_3 AS MATERIALIZED (SELECT * EXCLUDE (z), {cleaned('z')} AS z FROM {out}_2),
 {out} AS MATERIALIZED (SELECT * EXCLUDE (z), {squeezed('z')} AS {out}_latin FROM {out}_3)"""
 
@@ -43,14 +52,53 @@ def grams(column: str) -> str:
     (SELECT entity_id, source, country_key, ' ' || unnest(list_filter(string_split({column}, ' '), lambda t: t <> '')) || ' ' AS p FROM prep)) WHERE length(p) >= n) GROUP BY ALL)"""
 
 
-def tfidf(name: str, column: str) -> str:
+def tfidf(name: str, column: str, top: int) -> str:
     return f"""
 {name}_g AS MATERIALIZED {grams(column)},
 {name}_df AS (SELECT country_key, term, count(*) AS df FROM {name}_g WHERE source > 1 GROUP BY ALL),
 {name}_w AS (SELECT id, source, country_key, term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS w FROM {name}_g JOIN {name}_df USING (country_key, term) JOIN populations USING (country_key)),
 {name}_n AS MATERIALIZED (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS u FROM {name}_w),
 {name}_s AS (SELECT a.id AS q, b.id AS t, round(sum(a.u * b.u), 9) AS score FROM {name}_n a JOIN {name}_n b ON a.country_key = b.country_key AND a.term = b.term AND a.source = 1 AND b.source > 1 GROUP BY ALL),
-{name}_top AS (SELECT q, t, score FROM {name}_s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, t) <= 10)"""
+{name}_top AS (SELECT q, t, score FROM {name}_s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, t) <= {top})"""
+
+
+def lcs(a: str, b: str) -> str:
+    """Longest common subsequence by bits of one integer, for up to 120 characters of a."""
+    full = f"((1::HUGEINT << length({a})::INT) - 1)"
+    places = f"list_transform(string_split({b}, ''), lambda ch_: list_sum(list_transform(range(length({a})), lambda at_: CASE WHEN substr({a}, at_ + 1, 1) = ch_ THEN 1::HUGEINT << at_::INT ELSE 0::HUGEINT END)))"
+    return f"(CASE WHEN {a} = '' OR {b} = '' THEN 0 ELSE length({a}) - bit_count(list_reduce(list_prepend({full}, {places}), lambda v_, m_: ((v_ + (v_ & m_)) | (v_ - (v_ & m_))) & {full})) END)"
+
+
+def ratio(a: str, b: str) -> str:
+    return f"(CASE WHEN {a} = '' AND {b} = '' THEN 1.0::DOUBLE ELSE 2 * {lcs(a, b)} / (length({a}) + length({b})) END)"
+
+
+def partial(a: str, b: str) -> str:
+    """Windows of the longer string; a is not longer than b."""
+    window = f"substr({b}, greatest(0, w_) + 1, w_ + length({a}) - greatest(0, w_))"
+    return f"(CASE WHEN {a} = '' THEN 0.0::DOUBLE ELSE list_max(list_transform(range(1 - length({a}), length({b})), lambda w_: {ratio(a, window)})) END)"
+
+
+def either(a: str, b: str) -> str:
+    return f"(CASE WHEN length({a}) > length({b}) THEN {partial(b, a)} ELSE {partial(a, b)} END)"
+
+
+def words(x: str) -> str:
+    return f"list_filter(string_split({x}, ' '), lambda t: t <> '')"
+
+
+def strings(out: str, pairs: str) -> str:
+    """All similarities of the different pairs (a, b), a CTE a step."""
+    joined = lambda x: f"array_to_string(list_sort({x}), ' ')"
+    return f"""
+{out}_1 AS MATERIALIZED (SELECT a, b, {joined(words("a"))} AS sa, {joined(words("b"))} AS sb, list_distinct({words("a")}) AS xa, list_distinct({words("b")}) AS xb FROM (SELECT DISTINCT a, b FROM ({pairs}))),
+{out}_2 AS MATERIALIZED (SELECT *, {joined("list_intersect(xa, xb)")} AS c, {joined("list_filter(xa, lambda t: NOT list_contains(xb, t))")} AS oa, {joined("list_filter(xb, lambda t: NOT list_contains(xa, t))")} AS ob FROM {out}_1),
+{out}_3 AS MATERIALIZED (SELECT *, trim(c || ' ' || oa) AS l, trim(c || ' ' || ob) AS r, {ratio("a", "b")} AS ratio, {ratio("sa", "sb")} AS token_sort,
+    greatest(length(a), length(b)) / greatest(least(length(a), length(b)), 1) AS spread FROM {out}_2),
+{out}_4 AS MATERIALIZED (SELECT *, CASE WHEN len(xa) = 0 OR len(xb) = 0 THEN 0.0::DOUBLE WHEN c <> '' AND (oa = '' OR ob = '') THEN 1.0::DOUBLE WHEN c <> '' THEN greatest({ratio("l", "r")}, {ratio("c", "l")}, {ratio("c", "r")}) ELSE {ratio("l", "r")} END AS token_set FROM {out}_3),
+{out} AS MATERIALIZED (SELECT a, b, ratio, token_sort, token_set, CASE WHEN a = '' OR b = '' THEN 0.0::DOUBLE WHEN spread < {S.LONGER} THEN greatest(ratio, {S.TOKEN_WEIGHT}::DOUBLE * token_sort, {S.TOKEN_WEIGHT}::DOUBLE * token_set)
+    ELSE greatest(ratio, wt * {either("a", "b")}, {S.TOKEN_WEIGHT}::DOUBLE * wt * {either("sa", "sb")}, {S.TOKEN_WEIGHT}::DOUBLE * wt * CASE WHEN c <> '' THEN 1.0::DOUBLE ELSE {either("oa", "ob")} END) END AS wratio
+    FROM (SELECT *, CASE WHEN spread <= {S.MUCH_LONGER} THEN {S.PART_WEIGHT}::DOUBLE ELSE {S.SHORT_PART_WEIGHT}::DOUBLE END AS wt FROM {out}_4))"""
 
 
 def family(tag: str, value: str, source: str) -> str:
@@ -60,7 +108,7 @@ def family(tag: str, value: str, source: str) -> str:
 BASE = rf"""
 WITH d AS (SELECT doc_id, lang AS country, lang || '|' || left(lower(text), 40) AS block, regexp_replace(text, '\s+', ' ', 'g') AS flat FROM documents),
 g AS (SELECT block, count(*) AS size, min(doc_id) AS least FROM d GROUP BY block),
-recs AS MATERIALIZED (SELECT 'S' || source || '-' || lpad(CAST(doc_id AS VARCHAR), 6, '0') AS entity_id, substr(flat, 1, 60) AS business_name, substr(flat, 61, 60) AS business_address, country, source, block
+recs AS MATERIALIZED (SELECT 'S' || source || '-' || lpad(CAST(doc_id AS VARCHAR), greatest(6, length(CAST(doc_id AS VARCHAR)))::INT, '0') AS entity_id, substr(flat, 1, 60) AS business_name, substr(flat, 61, 60) AS business_address, country, source, block
     FROM (SELECT d.*, CAST(CASE WHEN size = 1 THEN 1 + doc_id % 3 WHEN doc_id = least THEN 1 WHEN doc_id % 2 = 0 THEN 2 ELSE 3 END AS INTEGER) AS source FROM d JOIN g USING (block))),
 {latin("business_name", "nm", "recs")}, {latin("business_address", "ad", "nm")},
 prep AS MATERIALIZED (SELECT *, nm_latin AS name_norm, array_to_string(list_filter(string_split(nm_latin, ' '), lambda t: t <> '' AND t NOT IN ({LEGAL})), ' ') AS name_core, {abbreviated("ad_latin")} AS address_norm,
@@ -82,7 +130,7 @@ keys AS MATERIALIZED (SELECT entity_id, md5(country_key || '|' || value) AS key,
 sizes AS (SELECT key, count(*) AS postings FROM keys WHERE source > 1 GROUP BY key),
 usable AS (SELECT entity_id, key FROM keys JOIN sizes USING (key) WHERE source > 1 AND postings <= {CAP}),
 votes AS MATERIALIZED (SELECT a.entity_id AS q, b.entity_id AS t, count(*) AS votes FROM keys a JOIN usable b ON a.key = b.key AND a.source = 1 GROUP BY ALL),
-pool AS MATERIALIZED (SELECT q, t, votes FROM votes QUALIFY row_number() OVER (PARTITION BY q ORDER BY votes DESC, t) <= {TOP}),
+pool AS MATERIALIZED (SELECT q, t, votes FROM votes QUALIFY row_number() OVER (PARTITION BY q ORDER BY votes DESC, t) <= {POOL}),
 lists AS (SELECT entity_id AS source1_entity_id, coalesce(string_agg(t, ',' ORDER BY t), '') AS ids FROM prep LEFT JOIN pool ON q = entity_id WHERE source = 1 GROUP BY entity_id),
 truth AS MATERIALIZED (SELECT a.entity_id AS q, b.entity_id AS t FROM recs a LEFT JOIN recs b ON a.block = b.block AND b.source > 1 WHERE a.source = 1),
 populations AS (SELECT country_key, count(*) AS n FROM prep WHERE source > 1 GROUP BY ALL),
@@ -114,10 +162,19 @@ lens AS (SELECT id, country_key, sum(tf) AS len FROM wg WHERE source > 1 GROUP B
 means AS (SELECT country_key, n, greatest(sum(len) / n, 1.0) AS mean FROM lens JOIN populations USING (country_key) GROUP BY country_key, n),
 ww AS (SELECT wg.id, country_key, term, tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / mean)) * ln(1 + (n - df + 0.5) / (df + 0.5)) AS w FROM wg JOIN wdf USING (country_key, term) JOIN lens USING (id, country_key) JOIN means USING (country_key) WHERE source > 1),
 bm_s AS (SELECT wg.id AS q, ww.id AS t, round(sum(w), 9) AS score FROM wg JOIN ww ON wg.country_key = ww.country_key AND wg.term = ww.term AND wg.source = 1 GROUP BY ALL),
-bm_top AS (SELECT q, t, score FROM bm_s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, t) <= 10),
-{tfidf("cn", "name_core")}, {tfidf("ca", "address_norm")}
+bm_top AS (SELECT q, t, score FROM bm_s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, t) <= {TOP_WORDS}),
+{tfidf("cn", "name_core", TOP_NAME)}, {tfidf("ca", "address_norm", TOP_ADDRESS)}
 """
 
+RERANK = f"""{BASE.rstrip()},
+core_pairs AS MATERIALIZED (SELECT a, b, {ratio("a", "b")} AS r FROM (SELECT DISTINCT ca AS a, cb AS b FROM sides WHERE ca <> '' AND cb <> '' UNION SELECT aa, ab FROM sides WHERE aa <> '' AND ab <> '')),
+ranked AS (SELECT q, t, votes, coalesce(x.r, 0.0) AS char_name, coalesce(y.r, 0.0) AS char_address FROM sides LEFT JOIN core_pairs x ON x.a = ca AND x.b = cb LEFT JOIN core_pairs y ON y.a = aa AND y.b = ab),
+reranked AS MATERIALIZED (SELECT q, t, char_name, char_address, CAST(votes AS DOUBLE) AS bm25, 1 AS retrieval_methods FROM ranked
+    QUALIFY row_number() OVER (PARTITION BY q ORDER BY greatest(0.7::DOUBLE * char_name + 0.3::DOUBLE * char_address, 0.15::DOUBLE * char_name + 0.85::DOUBLE * char_address) DESC, t) <= {TOP})"""
+PAIRS = f"""{RERANK},
+chosen AS MATERIALIZED (SELECT p.*, a.name_norm AS na, b.name_norm AS nb, a.name_core AS ca, b.name_core AS cb, a.address_norm AS aa, b.address_norm AS ab, {squeezed("a.z1")} AS oa, {squeezed("b.z1")} AS ob
+    FROM reranked p JOIN (SELECT *, {cleaned("business_name")} AS z1 FROM prep) a ON a.entity_id = q JOIN (SELECT *, {cleaned("business_name")} AS z1 FROM prep) b ON b.entity_id = t),
+{strings("sim", "SELECT na AS a, nb AS b FROM chosen UNION SELECT ca, cb FROM chosen UNION SELECT aa, ab FROM chosen UNION SELECT oa, ob FROM chosen")}"""
 FEATURES = "q, t, votes, name_edit, name_jaccard, name_containment, address_jaccard, address_containment, digit_jaccard, digit_conflict, country_equal, name_exact, name_core_exact, address_exact, address_missing, name_length_ratio, address_length_ratio, same_target_source"
 MATCHED = f"SELECT entity_id AS source1_entity_id, coalesce(string_agg(t, ',' ORDER BY t), '') AS matched_entity_ids FROM recs LEFT JOIN scored ON q = entity_id AND probability >= {THRESHOLD} WHERE source = 1 GROUP BY entity_id"
 FINALS = {
@@ -159,4 +216,15 @@ FINALS = {
     "hash_sample": "SELECT entity_id, country FROM recs WHERE source = 1 QUALIFY row_number() OVER (PARTITION BY country ORDER BY md5(entity_id || '|2026'), entity_id) <= 50",
     "fold_assignment": "SELECT entity_id, CAST(CAST('0x' || substr(md5(entity_id), 1, 8) AS BIGINT) % 3 AS INTEGER) AS fold FROM recs WHERE source = 1",
 }
-ORACLE_SQL = {name: f"{BASE} {final}" for name, final in FINALS.items()}
+rounded = lambda x, name: f"round(CAST({x} AS FLOAT)::DOUBLE, 6) AS {name}"
+SIMILAR = [("name_ratio", "n.ratio"), ("name_wratio", "n.wratio"), ("name_token_set", "c.token_set"), ("name_token_sort", "c.token_sort"), ("name_jaro", "CASE WHEN na = '' AND nb = '' THEN 1 ELSE jaro_winkler_similarity(na, nb) END"),
+    ("address_ratio", "d.ratio"), ("address_wratio", "d.wratio"), ("address_token_set", "d.token_set"), ("address_jaro", "CASE WHEN aa = '' AND ab = '' THEN 1 ELSE jaro_winkler_similarity(aa, ab) END"), ("original_script_name_ratio", "o.ratio")]
+SET_NAMES = [x for x in FEATURES.split(", ") if x not in ("q", "t", "votes")]
+RANKS = [(c, c.replace("char_", "blocking_").replace("bm25", "blocking_votes")) for c in ("char_name", "char_address", "bm25")]
+RERANKED = {
+    "rerank_topk": f"{RERANK} SELECT q, t, round(char_name, 9) AS char_name, round(char_address, 9) AS char_address, bm25, retrieval_methods FROM reranked",
+    "pair_features": f"""{PAIRS} SELECT x.q, x.t, {", ".join(rounded(f"x.{c}", n) for c, n in RANKS)}, CAST(retrieval_methods AS DOUBLE) AS retrieval_methods, {", ".join(rounded(f"feats.{n}", n) for n in SET_NAMES)}, {", ".join(rounded(e, n) for n, e in SIMILAR)},
+        {", ".join(f"CAST(rank() OVER (PARTITION BY x.q ORDER BY CAST(x.{c} AS FLOAT) DESC) AS DOUBLE) AS {n}_rank, round(CAST(max(CAST(x.{c} AS FLOAT)) OVER (PARTITION BY x.q) - CAST(x.{c} AS FLOAT) AS DOUBLE), 6) AS {n}_from_best" for c, n in RANKS)},
+        CAST(count(*) OVER (PARTITION BY x.q) AS DOUBLE) AS candidate_count FROM chosen x JOIN feats USING (q, t) JOIN sim n ON n.a = na AND n.b = nb JOIN sim c ON c.a = ca AND c.b = cb JOIN sim d ON d.a = aa AND d.b = ab JOIN sim o ON o.a = x.oa AND o.b = x.ob""",
+}
+ORACLE_SQL = {name: f"{BASE.rstrip().rstrip(',')} {final}" for name, final in FINALS.items()} | RERANKED

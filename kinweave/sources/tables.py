@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import nfkc
+
 FIELDS = ["entity_id", "business_name", "business_address", "country"]
 
 
@@ -32,7 +34,12 @@ def checked(records: DataFrame) -> DataFrame:
 def load_split(spark: SparkSession, folder: str, prefix: str) -> tuple[DataFrame, DataFrame]:
     """The reference records and the targets of a split."""
     one, two, three = (read_tsv(spark, f"{folder}/{prefix}_source{i}.tsv") for i in (1, 2, 3))
-    return checked(one), checked(two.select(FIELDS).unionByName(three.select(FIELDS)))
+    return unified(checked(one)), unified(checked(two.select(FIELDS).unionByName(three.select(FIELDS))))
+
+
+def unified(records: DataFrame) -> DataFrame:
+    """records with names and addresses in one Unicode form (NFKC)."""
+    return records.withColumns({c: nfkc(F.col(c)) for c in ("business_name", "business_address")})
 
 
 def truth_links(truth: DataFrame) -> DataFrame:

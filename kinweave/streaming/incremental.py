@@ -2,50 +2,39 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import blocking, features
+from ..operators.index import Index, build, kept
 from ..operators.model import linear_score
-from ..operators.outputs import id_lists
 from ..sources.tables import FIELDS
 
 SCHEMA = ", ".join(f"{c} string" for c in FIELDS)
 
 
-def match_batch(queries: DataFrame, targets: DataFrame, cap: int, threshold: float) -> DataFrame:
+def match_batch(queries: DataFrame, index: Index, threshold: float, pool: int = blocking.POOL) -> DataFrame:
     """source1_entity_id, candidate_entity_ids, matched_entity_ids of every query; queries don't depend on each other."""
     prepared = blocking.prepare(queries)
-    pairs = blocking.pool(blocking.votes(blocking.blocking_keys(prepared), blocking.blocking_keys(targets), cap), blocking.TOP)
-    columns = ["name_norm", "name_core", "address_norm", "business_address", "country"]
-    rows = blocking.with_records(pairs, prepared, targets, columns).withColumns(features.set_features()).withColumn("probability", linear_score())
-    found = id_lists(queries, rows, "candidate_entity_ids")
-    return found.join(id_lists(queries, rows.where(F.col("probability") >= threshold), "matched_entity_ids"), "source1_entity_id")
-
-
-def guard(spark: SparkSession, folder: str, settings: dict) -> None:
-    """Keeps the settings of a run beside its results; a later run with others is an error."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    path = hadoop.Path(f"{folder}/settings")
-    text = json.dumps(settings, sort_keys=True)
-    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-        if spark.read.text(f"{folder}/settings").first().value != text:
-            raise ValueError("the run was begun with other input or settings")
-    else:
-        spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{folder}/settings")
-
-
-def run(spark: SparkSession, incoming: str, targets: DataFrame, folder: str, cap: int = blocking.CAP, threshold: float = 0.5, settings: dict | None = None) -> None:
+    pairs = blocking.pool(blocking.count_votes(blocking.blocking_keys(prepared), index.usable), pool)
+    rows = blocking.with_records(pairs, prepared, index.records, features.SET_COLUMNS).select("q", "t", *(F.round(e, 9).alias(n) for n, e in features.set_features().items())).withColumn("probability", linear_score())
+    # one pass over the pairs gives both lists
+    lists = rows.groupBy("q").agg(*(F.array_join(F.array_sort(F.collect_set(c)), ",").alias(n) for c, n in ((F.col("t"), "c"), (F.when(F.col("probability") >= threshold, F.col("t")), "m"))))
+    ids = queries.select(F.col("entity_id").alias("q")).join(lists, "q", "left")
+    return ids.select(F.col("q").alias("source1_entity_id"), F.coalesce("c", F.lit("")).alias("candidate_entity_ids"), F.coalesce("m", F.lit("")).alias("matched_entity_ids"))
+
+
+def run(spark: SparkSession, incoming: str, targets: DataFrame, folder: str, cap: int = blocking.CAP, threshold: float = 0.5, settings: dict | None = None, pool: int = blocking.POOL) -> None:
     """Scores all files of queries (Parquet) in ``incoming`` that no earlier run has scored, to ``folder``/results, a folder a batch.
 
-    A batch that is run again overwrites its own folder, so results are there once.
+    The targets are indexed once, in ``folder``/index. Other targets or settings than an earlier run's are an error. A batch that
+    is run again overwrites its own folder, so results are there once.
     """
-    guard(spark, folder, {"cap": cap, "threshold": threshold} | (settings or {}))
+    kept(spark, f"{folder}/settings", {"cap": cap, "threshold": threshold, "pool": pool} | (settings or {}))
+    index = build(spark, targets.select(FIELDS), f"{folder}/index", cap)
 
     def write(batch: DataFrame, number: int) -> None:
-        match_batch(batch.select(FIELDS), targets, cap, threshold).write.mode("overwrite").parquet(f"{folder}/results/batch={number}")
+        match_batch(batch.select(FIELDS), index, threshold, pool).write.mode("overwrite").parquet(f"{folder}/results/batch={number}")
 
     stream = spark.readStream.schema(SCHEMA).parquet(incoming)
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()

@@ -153,6 +153,8 @@ def test_stream(spark, tmp_path):
     assert got["S1-1"].split(",")[:1] == ["S2-1"] and len(got) == 2
     with pytest.raises(ValueError):
         incremental.run(spark, incoming, t, folder, threshold=0.9)
+    with pytest.raises(ValueError):
+        incremental.run(spark, incoming, t.where("entity_id <> 'S3-2'"), folder)
     parts = spark.read.parquet(f"{folder}/results").drop("batch")
     assert outputs.merge_parts(parts, frame(spark, QUERIES)).count() == 2
     for broken in (parts.union(parts), parts.limit(1)):
