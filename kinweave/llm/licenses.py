@@ -33,8 +33,29 @@ NOTICES = {
     "cc-by-nc": ["licensed under <<optional>> a creative commons attribution noncommercial <<end>> cc by nc <<any:2>>"],
     "bsd": ["<<any:3>> under the <<optional>> terms of the <<end>> <<any:2>> bsd license"],
     "mpl-2": ["subject to the terms of the mozilla public license v 2 0"],
+    "agpl-3": ["under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license <<optional>> or at your option any later version <<end>>"],
+    "lgpl": ["under the terms of the gnu lesser general public license as published by the free software foundation either version <<any:2>> of the license <<optional>> or at your option any later version <<end>>"],
+    "epl": ["made available under the terms of the eclipse public license <<any:3>>"],
+    "cc-by": ["licensed under <<optional>> a <<end>> creative commons attribution <<any:2>> international license"],
+    "cc-by-sa": ["licensed under <<optional>> a <<end>> creative commons attribution sharealike <<any:2>> international license"],
+    "cc0": ["to the extent possible under law <<any:12>> has waived all copyright and related or neighboring rights to"],
 }
 TEXTS = {
+    "zlib": [
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions <<any:1>> the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required <<any:1>> altered source versions must be plainly marked as such and must not be misrepresented as being the original software <<any:1>> this notice may not be removed or altered from any source distribution"
+    ],
+    "unlicense": [
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software <<optional>> for more information please refer to <<any:4>> <<end>>"
+    ],
+    "0bsd": [
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is and <<any:4>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall <<any:4>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"
+    ],
+    "bsl-1": [
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following the copyright notices in the software and this entire statement including the above license grant this restriction and the following disclaimer must be included in all copies of the software in whole or in part and all derivative works of the software unless such copies or derivative works are solely in the form of machine executable object code generated by a source language processor the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose title and non infringement in no event shall the copyright holders or anyone distributing the software be liable for any damages or other liability whether in contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+    ],
+    "postgresql": [
+        "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies in no event shall <<any:8>> be liable to any party for direct indirect special incidental or consequential damages including lost profits arising out of the use of this software and its documentation even if <<any:8>> has been advised of the possibility of such damage"
+    ],
     "mit": [
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice <<optional>> including the next paragraph <<end>> shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall <<any:8>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
     ],
@@ -119,8 +140,6 @@ def scan(text: str | None) -> tuple[int, list[tuple[int, str]], list[tuple[int,
     """Number of words, (start, label) of phrases, (start, end, label, kind) of accepted templates."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(WORDS).split()
     flat = b" ".join([b"", *words, b""])
-    if b" license " not in flat and b" cc by " not in flat and b" permission " not in flat and b" redistribution" not in flat:
-        return len(words), [], []  # each phrase and template holds one of these
     base = sorted((at, label) for phrase, label in PHRASES.items() for at in places(flat, f" {phrase} ".encode()))
     found = []
     for t in templates():
