@@ -8,7 +8,9 @@ true type, which corrects the declared one; valid items further in, within or be
 from __future__ import annotations
 
 import binascii
+import re
 import struct
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -105,16 +107,27 @@ def bmp(data: bytes, at: int) -> tuple[str, int] | None:
     return ("image/bmp", size) if good else None
 
 
+@lru_cache(maxsize=3)
+def places_of(data: bytes, mark: bytes) -> list[int]:
+    """All places of a mark, found once for all headers of the data."""
+    return [m.start() for m in re.finditer(re.escape(mark), data)]
+
+
 def pdf(data: bytes, at: int) -> tuple[str, int] | None:
     """Up to the last end mark with a startxref of its own before the next header: each update adds one."""
     if not (data[at + 5 : at + 6].isdigit() and data[at + 6 : at + 7] == b"."):
         return None
-    header = data.find(b"%PDF-", at + 5)
-    last, stop, end = at, -1, data.find(b"%%EOF", at)
-    while end >= 0 and (last == at or header < 0 or end < header):  # the first one counts even behind a further header, of an embedded file
-        if data.rfind(b"startxref", last, end) > 0:
-            stop = end + 5
-        last, end = end + 5, data.find(b"%%EOF", end + 5)
+    headers, ends, tables = (places_of(data, x) for x in (b"%PDF-", b"%%EOF", b"startxref"))
+    following = bisect_right(headers, at)
+    header = headers[following] if following < len(headers) else len(data)
+    last, stop = at, -1
+    for k in range(bisect_right(ends, at), len(ends)):
+        if last != at and ends[k] > header:  # the first one counts even behind a further header, of an embedded file
+            break
+        own = bisect_right(tables, ends[k] - 9) - 1
+        if own >= 0 and tables[own] >= last:
+            stop = ends[k] + 5
+        last = ends[k] + 5
     return ("application/pdf", stop - at) if stop > 0 else None
 
 
@@ -252,8 +265,13 @@ def text_media(docs: DataFrame) -> DataFrame:
 
 
 def read_back(rows: DataFrame) -> DataFrame:
-    """All columns of rows(media, type, carved, ...) and payload (binary), feature (string: type, samples, mean and standard deviation of samples, embedded items)."""
+    """All columns of rows(media, type, carved, ...) and payload (binary), feature (string: type, samples, mean and standard deviation of samples, embedded items).
+
+    Columns named payload or feature are an error. Media that are null or no wave file have an empty payload.
+    """
     schema = rows.schema
+    if {"payload", "feature"} & set(schema.names):
+        raise ValueError("a column has the name of a result")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -55,3 +55,41 @@ def test_round_trip(spark, texts):
         assert r.n_bytes == len(data) and r.payload.rstrip(b"\0") == data.rstrip(b"\0") and r.payload.startswith(data)
         assert len(r.payload) % 64 == 0 and 64 <= len(r.payload) < len(data) + 65 and r.corrected and r.type == "audio/wav"
     assert read_back(sniff_media(text_media(docs.limit(0)), ["doc_id", "media"])).count() == 0
+
+
+def jpeg():
+    part = lambda mark, data: b"\xff" + bytes([mark]) + (len(data) + 2).to_bytes(2, "big") + data
+    return b"\xff\xd8" + part(0xE0, b"JFIF\0\1\1\0\0\1\0\1\0\0") + part(0xDB, bytes(65)) + part(0xDA, b"\1\1\0\0\x3f\0") + b"ab\xff\0cd\xff\xd0ef\xff\xd9"
+
+
+def form(kind, body):
+    return b"RIFF" + (4 + len(body)).to_bytes(4, "little") + kind + body
+
+
+def test_more_formats():
+    """JPEG with stuffed bytes and restart marks, WebP, AVI and the older GIF, whole and cut short."""
+    webp = form(b"WEBP", b"VP8 " + (10).to_bytes(4, "little") + bytes(10))
+    avi = form(b"AVI ", b"LIST" + (4).to_bytes(4, "little") + b"hdrl")
+    for data, kind in ((jpeg(), "image/jpeg"), (webp, "image/webp"), (avi, "video/x-msvideo"), (GIF.replace(b"89a", b"87a"), "image/gif")):
+        got = sniff(data + b"zz", None)
+        assert got[1] == len(data) and got[0].split("/")[0] == kind.split("/")[0], (got, kind)
+        assert sniff(data[:-1], None)[0] == UNKNOWN, kind
+        assert (3, len(data)) in [x[:2] for x in sniff(b"abc" + data, None)[3]]
+
+
+def test_long_texts_full_of_marks():
+    """No format searches to the end anew from each of its marks."""
+    import time
+
+    began = time.time()
+    for mark in (b"%PDF-1.4 ", b"PK\x03\x04", b"GIF89a", b"\xff\xd8\xff\xe0\0\4ab", b"RIFF\xff\0\0\0WAVE"):
+        sniff(mark * 40_000, None)
+        sniff(mark * 40_000 + b"startxref %%EOF", None)
+    assert time.time() - began < 60
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    stored = sniff_media(text_media(docs), ["doc_id", "media"])
+    with pytest.raises(ValueError):
+        read_back(stored.withColumn("payload", stored.media))
