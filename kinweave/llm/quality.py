@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .byte_bpe import chunks
 from .common import tidy
@@ -129,7 +130,9 @@ def held_out() -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Forest:
-    """Learns labels(doc_id, quality) from the texts of docs. Labels of one id that disagree count as 0; null labels don't count."""
+    """Learns labels(doc_id, quality) from the texts of docs. Labels of one id that disagree count as 0; null labels don't count.
+
+    Of texts that share an id, the one with the least statistics is learned from."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("quality").alias("y"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
 
@@ -141,8 +144,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
                 at += len(part)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    # sample has sample_rows rows at most: that bounds what is broadcast and what comes to the driver
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", F.col("y").cast("int")).mapInArrow(tidy(run), f"doc_id {kind}, y int, x array<double>").toPandas()
+    # sample has sample_rows rows at most: that bounds what is broadcast, and with one row an id what comes to the driver
+    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", F.col("y").cast("int")).mapInArrow(tidy(run), f"doc_id {kind}, y int, x array<double>")
+    rows = found.groupBy("doc_id").agg(F.min(F.struct("x", "y")).alias("least")).select("doc_id", "least.y", "least.x").toPandas()
     rows = rows.assign(k=[tuple(x) for x in rows.x]).sort_values(["doc_id", "k"])
     x = np.array(list(rows.k), float).reshape(-1, N_FEATURES)
     return grow(x, (rows.y.to_numpy() > 0).astype(float))
@@ -166,5 +170,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
                 yield pa.RecordBatch.from_arrays([*(c.slice(at, len(part)) for c in batch.columns), pa.array(got)], names=[*schema.names, "score"])
                 at += len(part)
 
-    scored = rest.mapInArrow(tidy(run), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields), "score double"]))
+    scored = rest.mapInArrow(tidy(run), StructType([*schema.fields, StructField("score", DoubleType())]))
     return scored.withColumns({"held_out": held_out(), "predicted": (F.col("score") >= THRESHOLD).cast("int")})
