@@ -20,20 +20,25 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages have no fetch time: page_id days, modulo a leap year, after 2024-01-01 stand for it."""
+    """The pages have no fetch time: page_id days, modulo a leap year, after 2024-01-01 stand for it. Besides a few fixed entries the list is watched_entries()."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 366).cast("int")).alias("fetched_on"))
-    got = url_filters.filter_urls(pages, url_filters.default_entries(spark))
+    got = url_filters.filter_urls(pages, url_filters.default_entries(spark).unionByName(url_filters.watched_entries(pages)))
     return got.select("page_id", "host", F.col("fetched_on").cast("string").alias("fetched_on"), F.array_join("lists", ",").alias("lists"), "entry", "blocked")
 
 
 def op3_sql() -> str:
     values = ", ".join(f"('{a}', '{b}', '{c}', '{d}', DATE '{e}')" for a, b, c, d, e in url_filters.DEFAULT_ENTRIES)
     return rf"""
-    WITH entries(list, kind, pattern, action, since) AS (VALUES {values}),
+    WITH captures AS MATERIALIZED (SELECT page_id, DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS fetched_on,
+        regexp_extract(lower(coalesce(url, '')), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1) AS host, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)', 1)) AS segment FROM pages),
+    hosts AS (SELECT pattern, CAST('0x' || substr(md5(pattern), 1, 8) AS BIGINT) AS k FROM (SELECT DISTINCT host AS pattern FROM captures WHERE host <> '')),
+    paths AS (SELECT pattern, CAST('0x' || substr(md5(pattern), 1, 8) AS BIGINT) AS k FROM (SELECT DISTINCT host || '/' || segment AS pattern FROM captures WHERE host <> '' AND segment <> '')),
+    steps(action, each, later) AS (VALUES ('add', 5, 0), ('remove', 10, 60), ('add', 20, 120)),
+    entries AS (SELECT * FROM (VALUES {values}) fixed(list, kind, pattern, action, since)
+        UNION ALL SELECT 'watch', 'block', pattern, action, DATE '2024-01-01' + CAST(k % 200 + later AS INTEGER) FROM hosts, steps WHERE k % each = 0
+        UNION ALL SELECT 'trusted', 'allow', pattern, 'add', DATE '2024-01-01' + CAST(k % 200 AS INTEGER) FROM paths WHERE k % 3 = 0),
     days AS (SELECT list, kind, pattern, since, max(action) AS action FROM entries GROUP BY ALL),
     spans AS (SELECT *, lead(since) OVER (PARTITION BY list, kind, pattern ORDER BY since) AS until FROM days),
-    captures AS (SELECT page_id, DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS fetched_on,
-        regexp_extract(lower(url), '^[a-z]+://([^/?#:]*)', 1) AS host, lower(regexp_extract(url, '^[A-Za-z]+://[^/?#]*/([^/?#]+)', 1)) AS segment FROM pages),
     found AS (SELECT page_id, list, kind, pattern FROM captures JOIN spans ON action = 'add' AND fetched_on >= since AND (until IS NULL OR fetched_on < until)
         AND (host = pattern OR ends_with(host, '.' || pattern) OR host || '/' || segment = pattern OR ends_with(host || '/' || segment, '.' || pattern))),
     verdict AS (SELECT page_id, string_agg(DISTINCT list, ',' ORDER BY list) AS lists, arg_max(pattern, length(pattern) * 2 + (kind = 'allow')::INT) AS entry,
@@ -114,18 +119,32 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = paragraphs.dedup_paragraphs(documents(spark, sf_dir).select("doc_id", "text"), Scratch(spark, "op10"))
-    return got.select("doc_id", "n_paragraphs", "n_removed", F.array_join("removed", ",").alias("removed"), sha_hex(F.coalesce("text", F.lit("")).cast("binary")).alias("kept_sha256"), "text")
+    return got.select("doc_id", "n_words", "n_removed", "n_spans", sha_hex(F.coalesce("text", F.lit("")).cast("binary")).alias("kept_sha256"), "text")
 
 
+#: Lines as ranges of words, near ones linked by all pairs that share a shingle; runs of words by a digest of each; and the words that are left, with their blanks.
 OP10_SQL = rf"""
-WITH RECURSIVE lines AS (SELECT doc_id, i, line, doc_id * 1000000 + i AS id FROM (SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))),
-source AS (SELECT id, line AS text FROM lines WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= {paragraphs.MIN_WORDS}), {sets_sql("source", 5)},
+WITH RECURSIVE tokens AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+[ 	-
+]*') AS t,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents),
+lines AS MATERIALIZED (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS hi FROM (SELECT doc_id, i, line, doc_id * 1000000 + i AS id, len(regexp_extract_all(line, '[^ 	-
+]+')) AS n
+    FROM (SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM tokens)))),
+source AS (SELECT id, line AS text FROM lines WHERE n >= {paragraphs.MIN_WORDS}), {sets_sql("source", 5)},
 links AS MATERIALIZED (SELECT a, b FROM shared JOIN sizes x ON x.id = a JOIN sizes y ON y.id = b WHERE 100 * shared.n >= 80 * (x.n + y.n - shared.n)),
 reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
-gone AS (SELECT a AS id FROM reach GROUP BY a HAVING min(b) < a)
-SELECT doc_id, count(source.id) AS n_paragraphs, count(gone.id) AS n_removed, coalesce(string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) FILTER (gone.id IS NOT NULL), '') AS removed,
-sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (gone.id IS NULL), '')) AS kept_sha256, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (gone.id IS NULL), '') AS text
-FROM lines LEFT JOIN source USING (id) LEFT JOIN gone USING (id) GROUP BY doc_id"""
+near AS (SELECT doc_id, hi - n AS lo, hi FROM lines JOIN (SELECT a AS id FROM reach GROUP BY a HAVING min(b) < a) USING (id)),
+runs AS MATERIALIZED (SELECT doc_id, i, md5(array_to_string(w[i + 1:i + {paragraphs.PASSAGE}], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(len(w) - {paragraphs.PASSAGE - 1})) AS i FROM tokens WHERE len(w) >= {paragraphs.PASSAGE})),
+firsts AS (SELECT h, min(doc_id * 1000000 + i) AS f FROM runs GROUP BY h HAVING count(*) > 1),
+equal AS (SELECT doc_id, CASE WHEN f // 1000000 = doc_id THEN greatest(i, f % 1000000 + {paragraphs.PASSAGE}) ELSE i END AS lo, i + {paragraphs.PASSAGE} AS hi FROM runs JOIN firsts USING (h) WHERE doc_id * 1000000 + i <> f),
+gone AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(range(CAST(lo AS BIGINT), CAST(hi AS BIGINT))) AS j FROM (SELECT * FROM near UNION ALL SELECT * FROM equal) WHERE lo < hi),
+ends AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (prev IS NULL OR prev < j - 1) AS n_spans FROM (SELECT doc_id, j, lag(j) OVER (PARTITION BY doc_id ORDER BY j) AS prev FROM gone) GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(x, '' ORDER BY k) AS rest FROM (SELECT doc_id, unnest(range(len(t))) AS k, unnest(t) AS x FROM tokens) p WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = p.doc_id AND g.j = p.k) GROUP BY doc_id),
+left_over AS (SELECT doc_id, CAST(len(t) AS BIGINT) AS n_words, regexp_extract(text, '^[ 	-
+]*') || coalesce(rest, '') AS text FROM tokens LEFT JOIN kept USING (doc_id))
+SELECT doc_id, n_words, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(text) AS kept_sha256, text FROM left_over LEFT JOIN ends USING (doc_id)"""
 
 
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality, op3_url_filters, op4_media, op5_token_store, op6_near_dups, op7_decontamination, op8_byte_bpe, op9_licenses, op10_paragraph_dedup)}

@@ -7,7 +7,7 @@ domains above it, and host plus first path segment); each is joined to the inter
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Lists of at most so many intervals are sent to all executors; longer ones are joined by shuffling.
@@ -24,9 +24,6 @@ DEFAULT_ENTRIES = [
     ("gambling", "block", "free-bets.example.com", "remove", "2024-11-01"),
     ("ads", "block", "ads-track.example.org", "add", "2023-01-01"),
     ("trusted", "allow", "ads-track.example.org/de", "add", "2024-04-01"),
-    ("blogs", "block", "blog.ththan.example.net", "add", "2024-07-01"),
-    ("blogs", "block", "blog.ththan.example.net/en", "remove", "2024-07-01"),
-    ("trusted", "allow", "blog.ththan.example.net/fr", "add", "2024-09-01"),
 ]
 
 
@@ -34,6 +31,27 @@ def default_entries(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(DEFAULT_ENTRIES, "list string, kind string, pattern string, action string, since string").withColumn("since", F.to_date("since"))
 
 
+def number(text: Column) -> Column:
+    """A number that stands for a text: the first 32 bits of its digest."""
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+
+
+def watched_entries(captures: DataFrame) -> DataFrame:
+    """A long list, made of the captures' own hosts and first path segments by their digests, where no table of entries is at hand.
+
+    A fifth of the hosts is blocked from some day of 2024 on; half of these are removed 60 days later, and half of those are
+    added again 120 days after the first day. A third of the paths below a host is allowed from some day on.
+    """
+    parts = url_parts(captures.select("url").distinct()).where("host <> ''")
+    hosts = parts.select(F.col("host").alias("pattern")).distinct().withColumn("k", number(F.col("pattern")))
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("k") % 200).cast("int"))
+    steps = F.array(*(F.struct(F.lit(action).alias("action"), F.date_add(day, later).alias("since"), F.lit(each).alias("each")) for action, later, each in (("add", 0, 5), ("remove", 60, 10), ("add", 120, 20))))
+    blocked = hosts.select("pattern", "k", F.inline(steps)).where(F.col("k") % F.col("each") == 0).select(F.lit("watch").alias("list"), F.lit("block").alias("kind"), "pattern", "action", "since")
+    paths = parts.where(F.size("candidates") > 0).select(F.explode("candidates").alias("pattern"), "host").where(F.col("pattern").startswith(F.concat("host", F.lit("/")))).select("pattern").distinct().withColumn("k", number(F.col("pattern")))
+    allowed = paths.where(F.col("k") % 3 == 0).select(F.lit("trusted").alias("list"), F.lit("allow").alias("kind"), "pattern", F.lit("add").alias("action"), day.alias("since"))
+    return blocked.unionByName(allowed)
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """list, kind, pattern, since, until (null: still open). Of entries of one day, a removal stands; entries with nulls don't count."""
     rows = entries.select("list", "kind", F.lower("pattern").alias("pattern"), "action", "since").dropna()
@@ -62,6 +80,7 @@ def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
 
     captures(page_id, url, fetched_on date). The longest active pattern decides, and of equal ones an allowing entry. A null
     URL, or one without a host, has host '' and is on no list, nor is a capture without a date. Repeated rows stay repeated.
+    Very long URLs are taken whole; other columns are not read; an empty table gives an empty one, and empty lists block nothing.
     """
     rows = captures.select("page_id", "url", "fetched_on").withColumn("capture", F.xxhash64(F.coalesce("url", F.lit("")), F.coalesce(F.col("fetched_on").cast("string"), F.lit(""))))
     # a URL fetched twice on a day is looked up once
