@@ -134,17 +134,17 @@ def rounded(rows: DataFrame, *columns: str) -> DataFrame:
 
 def char_tfidf_topk(spark, sf_dir):
     w = World(spark, sf_dir)
-    return rounded(retrieval.char_method(w.queries, w.targets, "name_core", retrieval.TOP_NAME), "score")
+    return retrieval.char_method(w.queries, w.targets, "name_core", retrieval.TOP_NAME)
 
 
 def bm25_topk(spark, sf_dir):
     w = World(spark, sf_dir)
-    return rounded(retrieval.word_method(w.queries, w.targets, retrieval.TOP_WORDS), "score")
+    return retrieval.word_method(w.queries, w.targets, retrieval.TOP_WORDS)
 
 
 def method_union(spark, sf_dir):
     w = World(spark, sf_dir)
-    return rounded(retrieval.retrieve(w.queries, w.targets), *features.RETRIEVAL)
+    return retrieval.retrieve(w.queries, w.targets)
 
 
 def pair_set_features(spark, sf_dir):

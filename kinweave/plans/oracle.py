@@ -194,9 +194,9 @@ FINALS = {
     "vote_pool_topk": "SELECT q, t, votes FROM pool",
     "candidate_lists": "SELECT source1_entity_id, ids AS candidate_entity_ids FROM lists",
     "term_df_idf": "SELECT country_key, term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 9) AS idf FROM wdf JOIN populations USING (country_key)",
-    "char_tfidf_topk": "SELECT q, t, round(score, 6) AS score FROM cn_top",
-    "bm25_topk": "SELECT q, t, round(score, 6) AS score FROM bm_top",
-    "method_union": "SELECT q, t, round(max(CASE WHEN m = 1 THEN score ELSE 0 END), 6) AS char_name, round(max(CASE WHEN m = 2 THEN score ELSE 0 END), 6) AS char_address, round(max(CASE WHEN m = 3 THEN score ELSE 0 END), 6) AS bm25, CAST(count(*) AS INTEGER) AS retrieval_methods FROM (SELECT *, 1 AS m FROM cn_top UNION ALL SELECT *, 2 FROM ca_top UNION ALL SELECT *, 3 FROM bm_top) GROUP BY ALL",
+    "char_tfidf_topk": "SELECT q, t, score FROM cn_top",
+    "bm25_topk": "SELECT q, t, score FROM bm_top",
+    "method_union": "SELECT q, t, max(CASE WHEN m = 1 THEN score ELSE 0 END) AS char_name, max(CASE WHEN m = 2 THEN score ELSE 0 END) AS char_address, max(CASE WHEN m = 3 THEN score ELSE 0 END) AS bm25, CAST(count(*) AS INTEGER) AS retrieval_methods FROM (SELECT *, 1 AS m FROM cn_top UNION ALL SELECT *, 2 FROM ca_top UNION ALL SELECT *, 3 FROM bm_top) GROUP BY ALL",
     "pair_set_features": f"SELECT {FEATURES} FROM feats",
     "pair_jaro_winkler": "SELECT q, t, round(CASE WHEN na = '' AND nb = '' THEN 1 ELSE jaro_winkler_similarity(na, nb) END, 6) AS name_jaro FROM sides",
     "rank_features": "SELECT *, "

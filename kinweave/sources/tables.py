@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,6 +56,12 @@ def fingerprint(records: DataFrame) -> str:
     return f"{n}-{x}-{s}"
 
 
+def file_fingerprint(spark: SparkSession, paths: list[str]) -> str:
+    """A digest of the names and bytes of some files, whatever their order; a file's bytes are digested where it is read, and only digests come to the driver."""
+    files = spark.read.format("binaryFile").load(paths).select(F.substring_index("path", "/", -1).alias("name"), F.sha2("content", 256).alias("digest"))
+    return hashlib.sha256("".join(f"{r.name} {r.digest}\n" for r in sorted(files.collect())).encode()).hexdigest()
+
+
 def from_documents(docs: DataFrame) -> DataFrame:
     """Records with ``source`` (1, 2, 3) and ``block``: documents of a language that begin alike are one block.
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from ..operators import blocking, features
 from ..operators.index import Index, build, kept
@@ -24,6 +27,30 @@ def match_batch(queries: DataFrame, index: Index, threshold: float, pool: int =
     return ids.select(F.col("q").alias("source1_entity_id"), F.coalesce("c", F.lit("")).alias("candidate_entity_ids"), F.coalesce("m", F.lit("")).alias("matched_entity_ids"))
 
 
+class Progress(StreamingQueryListener):
+    """Tells of each batch how many queries are done, how many a second, and how long the rest of ``total`` will take."""
+
+    def __init__(self, tell: Callable[[str], None], total: int | None = None):
+        self.tell, self.total, self.done = tell, total, 0
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.done += p.numInputRows
+        if p.numInputRows:
+            rate = max(p.processedRowsPerSecond, 1e-9)
+            left = f", {max(0, self.total - self.done) / rate:.0f} s left" if self.total else ""
+            self.tell(f"batch {p.batchId}: {self.done} queries, {rate:.1f} a second{left}")
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
 def run(spark: SparkSession, incoming: str, targets: DataFrame, folder: str, cap: int = blocking.CAP, threshold: float = 0.5, settings: dict | None = None, pool: int = blocking.POOL) -> None:
     """Scores all files of queries (Parquet) in ``incoming`` that no earlier run has scored, to ``folder``/results, a folder a batch.
 
@@ -34,7 +61,9 @@ def run(spark: SparkSession, incoming: str, targets: DataFrame, folder: str, cap
     index = build(spark, targets.select(FIELDS), f"{folder}/index", cap)
 
     def write(batch: DataFrame, number: int) -> None:
-        match_batch(batch.select(FIELDS), index, threshold, pool).write.mode("overwrite").parquet(f"{folder}/results/batch={number}")
+        batch = batch.select(FIELDS).persist()  # keys, features and the result look at it
+        match_batch(batch, index, threshold, pool).write.mode("overwrite").parquet(f"{folder}/results/batch={number}")
+        batch.unpersist()
 
     stream = spark.readStream.schema(SCHEMA).parquet(incoming)
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()

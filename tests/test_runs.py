@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from kinweave import __main__ as cli
 from kinweave.operators import blocking, index, outputs
 from kinweave.plans import runs
 from kinweave.sources import tables
+from kinweave.streaming import incremental
 
 N = 240
 SCHEMA = ", ".join(f"{c} string" for c in tables.FIELDS)
@@ -120,3 +122,29 @@ def test_sample(spark):
     chosen, known = runs.sample_labelled(queries, truth, 3)
     ids = {r.entity_id for r in chosen.collect()}
     assert len(ids) == 3 and ids <= {f"S1-{i}" for i in range(5, 9)} and {r.source1_entity_id for r in known.collect()} == ids
+
+
+def test_fingerprint_of_files(spark, tmp_path):
+    for name, text in (("a", "x"), ("b", "y")):
+        (tmp_path / name).write_text(text)
+    both = [str(tmp_path / "a"), str(tmp_path / "b")]
+    one = tables.file_fingerprint(spark, both)
+    assert one == tables.file_fingerprint(spark, both[::-1]) != tables.file_fingerprint(spark, both[:1])
+    (tmp_path / "b").write_text("z")
+    assert one != tables.file_fingerprint(spark, both)
+
+
+def test_progress(spark, tmp_path):
+    said, targets = [], spark.createDataFrame(TARGETS, SCHEMA)
+    spark.createDataFrame([("S1-1", "Alpha Bakery", "12 Main St", "india"), ("S1-2", "b", "c", "d")], SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in"))
+    listener = incremental.Progress(said.append, 4)
+    spark.streams.addListener(listener)
+    try:
+        incremental.run(spark, str(tmp_path / "in"), targets, str(tmp_path / "out"))
+        for _ in range(100):
+            if said:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    assert said and said[0].startswith("batch 0: 2 queries") and said[0].endswith("s left")
