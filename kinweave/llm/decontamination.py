@@ -20,7 +20,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Whatever parts words, once A-Z are lower case.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: A side of at most so many rows (of two numbers, or of one run's text) is sent to all executors; larger ones are shuffled.
-BROADCAST_ROWS = 50_000
+BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 16_000_000
 
 
 def words(text: Column) -> Column:
@@ -45,13 +45,14 @@ def doubled(rows: DataFrame, column: str, length: int, f) -> tuple[DataFrame, st
     while k < length:
         step = min(k, length - k)
         k, last, name = k + step, name, f"{column}_{k + step}"
-        rows = rows.withColumn(name, shifted(F.col(last), F.col(last), step, f))
+        if name not in rows.columns:  # another length may have made it
+            rows = rows.withColumn(name, shifted(F.col(last), F.col(last), step, f))
     return rows, name
 
 
 def selected(rows: DataFrame, length: int, winnow: bool) -> DataFrame:
     """rows(w, n) with ``fp``: for each run of so many words, the hash that stands for it; empty for fewer words."""
-    rows = rows.withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
+    rows = rows if "h" in rows.columns else rows.withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
     rows, name = doubled(rows, "h", GRAM if winnow else length, lambda a, b: F.xxhash64(a, b))
     if winnow:
         rows = rows.withColumn("g", upto(F.col(name), F.col("n"), GRAM))
@@ -59,18 +60,20 @@ def selected(rows: DataFrame, length: int, winnow: bool) -> DataFrame:
     return rows.withColumn("fp", upto(F.col(name), F.col("n"), length))
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df to be broadcast, if it is shown to have few rows."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def small(df: DataFrame) -> DataFrame:
+    """df to be broadcast, if it is shown to have few rows and bytes."""
+    n, size = df.limit(BROADCAST_ROWS + 1).agg(F.count("*"), F.sum(F.length(F.to_json(F.struct("*"))))).first()
+    return F.broadcast(df) if n <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else df
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> DataFrame:
     """All rows and columns of docs, with n_words, n_hit, n_items, items (sorted array of item ids as text) and contaminated.
 
     A null text has no words. An item without words has no window and never occurs; a null item id is the text ''. Repeated
-    rows are judged alike. Columns of docs with the names of results are replaced.
+    rows are judged alike, and very long texts whole. Columns of docs with the names of results are replaced, ``__rk`` is
+    reserved, and all others come back. An empty table gives an empty one; without items nothing is hit.
     """
-    docs = docs.drop("n_words", "n_hit", "n_items", "items", "contaminated").withColumn("rk", row_key())
+    docs = docs.drop("n_words", "n_hit", "n_items", "items", "contaminated").withColumn("__rk", row_key())
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words(F.col("text")).alias("w")).withColumn("n", F.size("w")).where("n > 0")
     length = F.least("n", F.lit(WINDOW))
     windows = scratch.save(
@@ -78,22 +81,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> Da
     )
     lengths = sorted(r.len for r in windows.select("len").distinct().collect())  # 13 values at most
     runs = windows.select("run", "len").distinct().select("run", "len", F.split("run", " ").alias("w"), F.col("len").alias("n"))
-    texts = docs.select("rk", words(F.col("text")).alias("w")).withColumn("n", F.size("w"))
+    texts = docs.select(F.col("__rk").alias("rk"), words(F.col("text")).alias("w")).withColumn("n", F.size("w"))
 
-    found = []
-    for k in lengths:
-        wanted = small(scratch.save(selected(runs.where(F.col("len") == k), k, k == WINDOW).select(F.explode("fp").alias("fp")).distinct(), f"wanted-{k}"))
-        here = selected(texts, k, k == WINDOW).select("rk", F.explode(F.array_distinct("fp")).alias("fp"))
-        found.append(here.join(wanted, "fp").groupBy("rk").agg(F.collect_set("fp").alias("hits")).select("rk", F.lit(k).alias("len"), "hits"))
     plain = docs.withColumn("n_words", F.size(words(F.col("text"))).cast("long"))
-    if not found:
+    if not lengths:
         none = F.array().cast("array<string>")
-        return plain.drop("rk").withColumns({"n_hit": F.lit(0).cast("long"), "n_items": F.lit(0).cast("long"), "items": none, "contaminated": F.lit(False)})
-    hits = scratch.save(reduce(DataFrame.unionAll, found), "hits")
+        return plain.drop("__rk").withColumns({"n_hit": F.lit(0).cast("long"), "n_items": F.lit(0).cast("long"), "items": none, "contaminated": F.lit(False)})
+    marks = [selected(runs.where(F.col("len") == k), k, k == WINDOW).select("len", F.explode("fp").alias("fp")) for k in lengths]
+    wanted = small(scratch.save(reduce(DataFrame.unionAll, marks).distinct(), "wanted"))
+    here = texts  # all lengths in one pass over the texts
+    for k in lengths:
+        here = selected(here, k, k == WINDOW).withColumnRenamed("fp", f"fp{k}")
+    named = lambda k: F.transform(F.array_distinct(f"fp{k}"), lambda x: F.struct(F.lit(k).alias("len"), x.alias("fp")))
+    each = F.concat(*map(named, lengths))
+    hits = here.select("rk", F.inline(each)).join(wanted, ["len", "fp"]).groupBy("rk", "len").agg(F.collect_set("fp").alias("hits"))
+    hits = scratch.save(hits.select("rk", "len", "hits"), "hits")
 
     # only documents with a hit are looked at again, and in them only the runs that a hit stands for
     some = small(hits.select("rk").distinct())
-    again = docs.select("rk", "text").join(some, "rk", "left_semi").dropDuplicates(["rk"]).join(small(hits), "rk").select("rk", "len", "hits", words(F.col("text")).alias("w")).withColumn("n", F.size("w"))
+    again = docs.select(F.col("__rk").alias("rk"), "text").join(some, "rk", "left_semi").dropDuplicates(["rk"]).join(small(hits), "rk").select("rk", "len", "hits", words(F.col("text")).alias("w")).withColumn("n", F.size("w"))
     places = []
     for k in lengths:
         at = selected(again.where(F.col("len") == k), k, k == WINDOW)
@@ -109,8 +115,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> Da
         lambda s: s["n"],
     )
     hit = matched.groupBy("rk").agg(covered.alias("n_hit"))
-    named = matched.select("rk", "run").distinct().join(small(windows.select("run", "item")), "run").groupBy("rk").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    result = scratch.save(hit.join(named, "rk"), "result")
-    out = plain.join(small(result), "rk", "left").drop("rk")
+    names = matched.select("rk", "run").distinct().join(small(windows.select("run", "item")), "run").groupBy("rk").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    result = scratch.save(hit.join(names, "rk"), "result")
+    out = plain.join(small(result).withColumnRenamed("rk", "__rk"), "__rk", "left").drop("__rk")
     out = out.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)).cast("long"), "items": F.coalesce("items", F.array().cast("array<string>"))})
     return out.withColumns({"n_items": F.size("items").cast("long"), "contaminated": (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))})
