@@ -166,8 +166,8 @@ def chunks(texts: list[str | None], most: int = CHUNK_CHARS) -> Iterator[list[st
 def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, ids (binary: little-endian 32-bit words), decoded (binary) of each row of docs(doc_id, text).
 
-    A null or empty text has no ids and decodes to no bytes. Repeated rows give repeated rows, and other columns are not
-    looked at. A text of any length is one piece of work; equal texts give equal ids.
+    A null or empty text has no ids and decodes to no bytes. Repeated rows give repeated rows, and other columns, of any name,
+    are not looked at. A text of any length is one piece of work; equal texts give equal ids. An empty table gives an empty one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -153,7 +153,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, base (start, label of phrases), found (start, end, label, kind of templates), score of docs(doc_id, text).
 
     Places are word numbers from 0. A null or empty text has no words, places or labels and scores 0. score is that of the
-    strongest evidence: 1 for a whole text, 0.9 for a notice, 0.6 for a phrase alone.
+    strongest evidence: 1 for a whole text, 0.9 for a notice, 0.6 for a phrase alone. Repeated rows give repeated rows, very long
+    texts are scanned whole, an empty table gives an empty one, and other columns, of any name, are not looked at.
     """
     base_type = pa.list_(pa.struct([("start", pa.int64()), ("label", pa.string())]))
     found_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("label", pa.string()), ("kind", pa.string())]))

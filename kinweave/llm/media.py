@@ -209,7 +209,8 @@ def sniff(data: bytes, declared: str | None) -> tuple[str, int, bool, list[tuple
 def sniff_media(rows: DataFrame, keep: list[str]) -> DataFrame:
     """The columns named by keep, then type, length, corrected and carved, for rows(media binary, declared string).
 
-    Null or empty bytes are of unknown type with length 0; an unknown declared type may be null. A column kept under one of
+    An empty table gives an empty one, repeated rows give repeated rows, and other columns are not looked at. Very long items are
+    sniffed whole. Null or empty bytes are of unknown type with length 0; an unknown declared type may be null. A column kept under one of
     the four names is an error.
     """
     fields = [f for f in rows.schema.fields if f.name in keep]

@@ -270,7 +270,8 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram
 
     A byte goes if a string of ``length`` bytes that covers it also starts anywhere else in the table, its own text included.
     Strings are judged on the input, and texts in UTF-8. A null text is empty; a text shorter than ``length`` is kept. Rows that
-    are alike repeat each other, so all of theirs goes if it is long enough.
+    are alike repeat each other, so all of theirs goes if it is long enough. Very long texts are cut into segments, which no
+    string is lost by. An empty table gives an empty one, and other columns, of any name, are not looked at.
     """
     spans = scratch.save(repeated_spans(docs, scratch, length, gram), "spans")
     rows = docs.select("doc_id", "text", row_key().alias("rk")).join(spans, "rk", "left").select("doc_id", "text", "spans")
