@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import os
+import re
 import tempfile
 import uuid
 
@@ -17,11 +18,17 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see; one of our own only where the session names none."""
     path = spark.conf.get("spark.checkpoint.dir", "")
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):  # on a cluster each machine would write to its own disk
+            raise ValueError("spark.checkpoint.dir names no folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="kinweave-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+#: Rows that are sent to a Python worker together while a table is written: texts are long, and both sides hold a batch.
+ARROW_ROWS, TEXTS_TOGETHER = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+
+
 class Scratch:
     """Written tables of one operator call, in the shared folder. They cut lineage, and a lost executor costs a reread only."""
 
@@ -29,18 +36,24 @@ class Scratch:
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str, release: bool = True) -> DataFrame:
-        path, schema = f"{self.root}/{name}", df.schema
-        df.write.option("compression", "zstd").parquet(path)
+        path, schema, conf = f"{self.root}/{name}", df.schema, self.spark.conf
+        usual = conf.get(ARROW_ROWS)
+        conf.set(ARROW_ROWS, str(min(int(usual), TEXTS_TOGETHER)) if int(usual) > 0 else str(TEXTS_TOGETHER))
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            conf.set(ARROW_ROWS, usual)
         del df
         if release:  # shuffle files of what is written now are of no more use; Spark removes them when their owners are collected
             gc.collect()
             self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(schema).parquet(path)
 
-    def drop(self, name: str) -> None:
+    def drop(self, *names: str) -> None:
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def tidy(run):
@@ -58,6 +71,15 @@ def tidy(run):
     return tidied
 
 
+#: So many rows of a few numbers each (tens of megabytes) are broadcast; their count is looked up first.
+FEW = 500_000
+
+
+def with_few(rows: DataFrame, written: DataFrame, column: str) -> DataFrame:
+    """rows joined with a written table on column. A table of at most FEW rows is broadcast, so that rows stay where they are; else both are shuffled."""
+    return rows.join(F.broadcast(written) if written.count() <= FEW else written, column)
+
+
 def row_key() -> Column:
     """64 bits that stand for a row of documents: equal rows share it, and a null id or text is a value like others."""
     return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")), F.coalesce(F.col("text"), F.lit("")))

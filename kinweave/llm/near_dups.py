@@ -10,6 +10,7 @@ Equal sets are one class from the start; classes that meet in buckets are cluste
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,9 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import chunks
-from .clustering import cluster
-from .common import Scratch, row_key, tidy
-from .components import components
+from .clustering import bucketed, cluster
+from .common import Scratch, row_key, tidy, with_few
 from .shingles import mix, shingle
 
 CHUNK = 4
@@ -80,15 +80,16 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int, share: tuple[
 
     Two rows are linked if down * |intersection| >= up * |union| for share = (up, down). component_id is the least doc_id that
     links lead to, its own included; kept says that it is the row's own. n_links counts confirmed links of the row's class to
-    others, as far as they were needed. root is the component's own key, null for rows without shingles. Null and empty texts have no shingles and are linked with nothing. Repeated rows are of
-    one class; of ids, nulls are not counted as least, and a row without one has its component's id, or null.
+    others, as far as they were needed. root is the component's own key, null for rows without shingles. Null and empty texts have no shingles and are
+    linked with nothing. Repeated rows are of one class; of ids, nulls are not counted as least, and a row without one has its
+    component's id, or null. Very long texts are compared whole. An empty table gives an empty one, and other columns, of any
+    name, are not looked at.
     """
     up, down = share
     rows = scratch.save(profile(docs, width, symbols), "rows")
     classes = scratch.save(rows.where("n > 0").groupBy("sh").agg(F.min("doc_id").alias("id"), F.min("rk").alias("rk"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
     keys = index_keys(classes, symbols)
-    shared = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("sh").alias("leader")).where("size > 1").select("key", "leader")
-    members = scratch.save(keys.join(shared, "key"), "members")
+    members = scratch.save(bucketed(keys, scratch), "members")
 
     facts = classes.select("sh", "n", "sig")
     distance = 2 * (symbols // CHUNK) - 1
@@ -106,14 +107,15 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int, share: tuple[
         return both.select("a", "b", "sa", "sb").mapInArrow(tidy(near), "a long, b long")
 
     def fetch(wanted: DataFrame) -> DataFrame:
-        wanted = wanted.join(classes.select("sh", "rk"), "sh")
-        return docs.select(row_key().alias("rk"), F.coalesce("text", F.lit("")).alias("text")).join(wanted, "rk").dropDuplicates(["sh"]).select("sh", "text")
+        wanted = scratch.save(wanted.join(classes.select("sh", "rk"), "sh"), f"wanted-{uuid.uuid4().hex}")
+        return with_few(docs.select(row_key().alias("rk"), F.coalesce("text", F.lit("")).alias("text")), wanted, "rk").select("sh", "text").dropDuplicates(["sh"])
 
-    links = cluster(members, scratch, width, share, fetch, screen)
-    roots = components(links, scratch, "roots")
+    links, roots = cluster(members, scratch, width, share, fetch, screen)
+    scratch.drop("members")
     placed = classes.select("sh", "id").join(roots.withColumnRenamed("node", "sh"), "sh", "left").withColumn("root", F.coalesce("root", "sh"))
     least = placed.groupBy("root").agg(F.min("id").alias("component_id"))
     counts = links.select(F.explode(F.array("a", "b")).alias("sh")).groupBy("sh").agg(F.count("*").alias("n_links"))
     found = scratch.save(placed.join(least, "root").join(counts, "sh", "left").select("sh", "root", "component_id", "n_links"), "found")
+    scratch.drop("classes", "shared", "links-leader", "links-hub", "links-rest")
     out = rows.join(found, "sh", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "rk", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "root")
