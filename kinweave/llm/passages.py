@@ -13,15 +13,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .byte_bpe import chunks
-from .common import Scratch, row_key, tidy
+from .common import tidy
 from .shingles import BASE, INVERSE, IS_GAP, LOWER, mix, powers, range_hash
 
-#: A passage of over 50 words repeats; WIDTH - RUN + 1 runs stand in a window.
-WIDTH, RUN = 51, 26
+#: A passage of over 50 words repeats; WIDTH - RUN + 1 runs stand in a window, and two of that many and one are marks: shorter runs make fewer marks.
+WIDTH, RUN = 51, 13
 CHUNK_CHARS = 1_000_000
+#: A place holds a word's number in so many bits, and above them a document's: 2**35 documents of 2**28 words.
+WORD_BITS = 28
 
 
 def sliding(f: np.ufunc, x: np.ndarray, n: int) -> np.ndarray:
@@ -46,13 +47,18 @@ class Windows:
     marked: tuple[np.ndarray, np.ndarray]  # text and hash of each run that is a mark
 
 
-def windows(texts: list[str | None]) -> Windows:
+def words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes of all texts, first and last bytes of their words, and the bytes before each text."""
     parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     sizes = np.array([len(p) + 1 for p in parts], np.int64)
     data = LOWER[np.frombuffer(b" ".join([*parts, b""]), np.uint8)]
     edges = np.diff(np.concatenate([[True], IS_GAP[data]]).astype(np.int8))  # the last byte is a gap
-    starts, ends = np.nonzero(edges == -1)[0], np.nonzero(edges == 1)[0]
-    bytes_before = np.concatenate([[0], np.cumsum(sizes)])
+    return data, np.nonzero(edges == -1)[0], np.nonzero(edges == 1)[0], np.concatenate([[0], np.cumsum(sizes)])
+
+
+def windows(texts: list[str | None], marks_only: bool = False) -> Windows:
+    """marks_only leaves out what is known of each window."""
+    data, starts, ends, bytes_before = words_of(texts)
     owner = np.searchsorted(bytes_before[1:], starts, "right")
     before = np.searchsorted(owner, np.arange(len(texts) + 1))
     n = len(starts)
@@ -69,31 +75,15 @@ def windows(texts: list[str | None]) -> Windows:
     reach = np.zeros(n - WIDTH + 1 + 2 * (WIDTH - RUN), np.uint64)
     reach[WIDTH - RUN : WIDTH - RUN + len(marks)] = np.where(whole, marks, np.uint64(0))
     is_mark = np.nonzero(sliding(np.maximum, reach, WIDTH - RUN + 1) == runs)[0]
+    marked = owner[is_mark], runs[is_mark].view(np.int64)
+    if marks_only:
+        return Windows(starts, before, bytes_before, none, none, none, none, marked)
     place = np.nonzero(whole)[0]
-    return Windows(starts, before, bytes_before, owner[place], place - before[owner[place]], run(WIDTH)[place].view(np.int64), marks[place].view(np.int64), (owner[is_mark], runs[is_mark].view(np.int64)))
-
-
-def marked(rows: DataFrame) -> DataFrame:
-    """(rk, mark, times) of rows(rk, text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = 0
-            for part in chunks(batch.column("text").to_pylist(), CHUNK_CHARS):
-                of, marks = windows(part).marked
-                order = np.lexsort((marks, of))
-                of, marks = of[order], marks[order]
-                fresh = np.ones(len(of), bool)
-                fresh[1:] = (of[1:] != of[:-1]) | (marks[1:] != marks[:-1])
-                first = np.nonzero(fresh)[0]
-                yield pa.RecordBatch.from_arrays([batch.column("rk").slice(at, len(part)).take(pa.array(of[first])), pa.array(marks[first]), pa.array(np.diff(np.append(first, len(of))).astype(np.int64))], names=["rk", "mark", "times"])
-                at += len(part)
-
-    return rows.select("rk", "text").mapInArrow(tidy(run), "rk long, mark long, times long")
+    return Windows(starts, before, bytes_before, owner[place], place - before[owner[place]], run(WIDTH)[place].view(np.int64), marks[place].view(np.int64), marked)
 
 
 def placed(rows: DataFrame) -> DataFrame:
-    """(rk, doc_id, word, h, mark): the windows of rows(rk, doc_id, text, marks) that have one of the marks."""
+    """(pos, h, mark): the windows of rows(o, text, marks) that have one of the marks; pos holds the row's place in the order, o, and the first word's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,51 +93,23 @@ def placed(rows: DataFrame) -> DataFrame:
                 wanted = rows.column("marks").to_pylist()
                 bounds = np.searchsorted(got.of, np.arange(len(part) + 1))
                 keep = np.concatenate([np.zeros(0, bool), *(np.isin(got.marks[a:b], np.array(m, np.int64)) for a, b, m in zip(bounds[:-1], bounds[1:], wanted, strict=True))])
-                of = pa.array(got.of[keep])
-                yield pa.RecordBatch.from_arrays([rows.column("rk").take(of), rows.column("doc_id").take(of), pa.array(got.at[keep]), pa.array(got.hashes[keep]), pa.array(got.marks[keep])], names=["rk", "doc_id", "word", "h", "mark"])
-                at += len(part)
-
-    return rows.select("rk", "doc_id", "text", "marks").mapInArrow(tidy(run), "rk long, doc_id long, word long, h long, mark long")
-
-
-def without(rows: DataFrame) -> DataFrame:
-    """(rk, left): text of rows(rk, text, gone) without the words of gone (ranges) and the blanks behind them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = 0
-            for part in chunks(batch.column("text").to_pylist(), CHUNK_CHARS):
-                got, rows, left = windows(part), batch.slice(at, len(part)), []
-                for i, (text, gone) in enumerate(zip(part, rows.column("gone").to_pylist(), strict=True)):
-                    own, data = got.starts[got.before[i] : got.before[i + 1]] - got.bytes_before[i], text.encode("utf-8", "surrogatepass")
-                    out, last = [], 0
-                    for a, b in sorted((x["lo"], x["hi"]) for x in gone):
-                        out.append(data[last : max(last, own[a])])
-                        last = max(last, own[b] if b < len(own) else len(data))
-                    left.append(b"".join([*out, data[last:]]).decode("utf-8", "surrogatepass"))
-                yield pa.RecordBatch.from_arrays([rows.column("rk"), pa.array(left, pa.string())], names=["rk", "left"])
+                pos = rows.column("o").to_numpy()[got.of[keep]] << WORD_BITS | got.at[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(pos), pa.array(got.hashes[keep]), pa.array(got.marks[keep])], names=["pos", "h", "mark"])
                 at += len(part)
 
-    return rows.select("rk", "text", "gone").mapInArrow(tidy(run), "rk long, left string")
-
-
-def drop_passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """All rows and columns of docs(doc_id, text, ...), without passages of WIDTH words or more that stand earlier too.
-
-    Earlier is in a lesser doc_id (nulls last), or further up in the same text; where a text repeats itself with an overlap, its
-    first WIDTH words of that stay. Blanks and line ends behind removed words go with them. A null text stays null. Rows that are alike
-    count as one and are treated alike.
-    """
-    rows = docs.select(row_key().alias("rk"), F.col("doc_id").cast("long"), "text")
-    marks = scratch.save(marked(rows), "marks")
-    shared = marks.groupBy("mark").agg(F.sum("times").alias("times")).where("times > 1").select("mark")
-    wanted = scratch.save(marks.join(shared, "mark").groupBy("rk").agg(F.collect_set("mark").alias("marks")), "wanted")
-    scratch.drop("marks")
-    found = scratch.save(placed(rows.join(wanted, "rk")), "windows")
-    here = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk", "word")
-    first = found.groupBy("h", "mark").agg(F.min(here).alias("first"), F.max(here).alias("last")).where("first <> last").select("h", "mark", "first")
-    lo = F.when(F.col("first.rk") == F.col("rk"), F.greatest("word", F.col("first.word") + WIDTH)).otherwise(F.col("word"))
-    later = found.join(first, ["h", "mark"]).where((F.col("first.rk") != F.col("rk")) | (F.col("first.word") != F.col("word")))
-    gone = later.select("rk", lo.alias("lo"), (F.col("word") + WIDTH).alias("hi")).where("lo < hi").groupBy("rk").agg(F.collect_set(F.struct("lo", "hi")).alias("gone"))
-    left = scratch.save(without(rows.join(scratch.save(gone, "gone"), "rk").dropDuplicates(["rk"])), "left")
-    return docs.withColumn("rk", row_key()).join(left, "rk", "left").withColumn("text", F.coalesce("left", "text")).select(docs.columns)
+    return rows.select("o", "text", "marks").mapInArrow(tidy(run), "pos long, h long, mark long")
+
+
+def cut(texts: list[str], gone: list[list[tuple[int, int]]]) -> Iterator[tuple[str, int, int]]:
+    """Of each text: it without the ranges of words in gone and the blanks behind them, the words removed, and their spans."""
+    _, starts, _, bytes_before = words_of(texts)
+    before = np.searchsorted(starts, bytes_before)
+    for i, (text, ranges) in enumerate(zip(texts, gone, strict=True)):
+        own, data = starts[before[i] : before[i + 1]] - bytes_before[i], text.encode("utf-8", "surrogatepass")
+        out, last, end, removed, spans = [], 0, -1, 0, 0
+        for a, b in sorted(ranges):
+            if b > end:
+                out.append(data[last : max(last, own[a])])
+                last = own[b] if b < len(own) else len(data)
+                removed, spans, end = removed + b - max(a, end), spans + (a > end), b
+        yield b"".join([*out, data[last:]]).decode("utf-8", "surrogatepass"), removed, spans

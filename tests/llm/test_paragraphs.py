@@ -4,7 +4,7 @@ import re
 from test_near_dups import sets
 
 from kinweave.llm.common import Scratch
-from kinweave.llm.paragraphs import dedup_paragraphs
+from kinweave.llm.paragraphs import PASSAGE, dedup_paragraphs
 
 
 def brute(rows, least=25):
@@ -29,19 +29,34 @@ def brute(rows, least=25):
     first = {}
     for k in sorted(keys, key=lambda k: (k[0], k[1], k[3])):
         first.setdefault(find(k), k)
+    runs, words = {}, {}
+    for d, t in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0)):
+        words[d, t] = [(m.start(), re.sub("[A-Z]+", lambda x: x[0].lower(), m[0])) for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")]
+        own = [w for _, w in words[d, t]]
+        for i in range(len(own) - PASSAGE + 1):
+            runs.setdefault(tuple(own[i : i + PASSAGE]), ((d, t), i))
     out = []
     for d, t in rows:
-        lines = (t or "").split("\n")
-        gone = [k for k in range(len(lines)) if (key := (d is None, d or 0, t, k)) in every and first[find(key)] != key]
-        n = sum((d is None, d or 0, t, k) in every for k in range(len(lines)))
-        out.append((d or -1, n, gone, t if not gone else "\n".join(x for k, x in enumerate(lines) if k not in gone)))
+        gone, at, own = set(), 0, [w for _, w in words[d, t]]
+        for k, line in enumerate((t or "").split("\n")):
+            n = len(re.findall(r"[^\x20\x09-\x0D]+", line))
+            if (key := (d is None, d or 0, t, k)) in every and first[find(key)] != key:
+                gone |= set(range(at, at + n))
+            at += n
+        for i in range(len(own) - PASSAGE + 1):
+            row, k = runs[tuple(own[i : i + PASSAGE])]
+            if (row, k) != ((d, t), i):
+                gone |= set(range(max(i, k + PASSAGE) if row == (d, t) else i, i + PASSAGE))
+        edges = [*(a for a, _ in words[d, t]), len(t or "")]
+        text = None if t is None else t[: edges[0]] + "".join(t[edges[k] : edges[k + 1]] for k in range(len(own)) if k not in gone)
+        out.append((d or -1, len(own), len(gone), sum(k - 1 not in gone for k in gone), text))
     return sorted(out, key=repr)
 
 
 def check(spark, rows):
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_removed int")
     got = dedup_paragraphs(docs, Scratch(spark, "t")).collect()
-    assert sorted(((r.doc_id or -1, r.n_paragraphs, list(r.removed), r.text) for r in got), key=repr) == brute(rows)
+    assert sorted(((r.doc_id or -1, r.n_words, r.n_removed, r.n_spans, r.text) for r in got), key=repr) == brute(rows)
 
 
 def test_families(spark):
@@ -61,6 +76,17 @@ def test_families(spark):
     check(spark, rows)
 
 
+def test_passages_in_longer_lines(spark):
+    """A passage of 51 words in lines that differ otherwise, and one over short lines, at any place of both."""
+    rng = random.Random(2)
+    say = lambda n: [f"v{rng.randrange(100_000)}" for _ in range(n)]
+    one, two = say(51), say(60)
+    rows = [(k, " ".join([*say(k * 9), *one, *say(70)])) for k in range(1, 5)]
+    rows += [(k, "\n".join(" ".join(x[i : i + 9]) for x in [[*say(k), *two, *say(3)]] for i in range(0, len(x), 9))) for k in range(5, 9)]
+    check(spark, rows)
+    assert [r[2] for r in brute(rows)] == [0, 51, 51, 51, 0, 60, 60, 60]
+
+
 def test_odd(spark):
     p = " ".join(f"w{i}" for i in range(60))
     check(spark, [(5, p), (5, p), (3, f"{p}\nx\n{p.upper()}\n"), (9, None), (10, ""), (11, f"\n\n{p}"), (12, "k " * 40_000)])

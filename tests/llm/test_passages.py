@@ -5,7 +5,8 @@ import corpus_pipeline
 import pytest
 
 from kinweave.llm.common import Scratch
-from kinweave.llm.passages import WIDTH, drop_passages
+from kinweave.llm.paragraphs import drop_passages
+from kinweave.llm.passages import WIDTH
 
 
 def brute(rows):

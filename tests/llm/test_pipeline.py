@@ -28,7 +28,7 @@ def test_stages(spark, tmp_path):
         elif name == "MinHash near-dedup":
             assert set(got) == {x[0] for x in near(rows, 5, 80, 100) if x[3]}
         elif name == "substring dedup":
-            assert {k: r.text for k, r in got.items()} == {x[0] or 0: x[3] for x in repeated([(d + 1, t) for d, t in rows]) for x in [(x[0] - 1, *x[1:])]}
+            assert {k: r.text for k, r in got.items()} == {x[0] - 1: x[4] for x in repeated([(d + 1, t) for d, t in rows])}
             assert all(r.n_chars == len(r.text) for r in got.values())
         elif name == "benchmark decontamination":
             assert set(got) == {d for d, t in rows if not contaminated([(d + 1, t)], items)[0][5]}
@@ -50,3 +50,15 @@ def test_odd_rows(spark):
         assert sorted((r.doc_id or 0, (r.text or "")[:1]) for r in kept.collect()) == ([(0, ""), (0, "o"), (0, "q"), (1, "a"), (5, "")] if rows else [])
         assert corpus_pipeline.drop_repeated_paragraphs(spark, kept, SF).count() == (5 if rows else 0)
         assert corpus_pipeline.drop_contaminated(spark, docs, SF).count() == len(rows)
+
+
+def test_other_columns_come_back(spark):
+    """Columns with the names of results and of internal columns."""
+    names = ["rk", "score", "n_hit", "predicted", "held_out", "n_removed", "n_words", "items", "n_items", "contaminated", "gone", "sh", "th", "key", "root", "__rk", "__gone", "__rest", "_x", "a.b"]
+    rows = [(i, f"alpha {i} beta gamma delta " * 8, "en", *(f"{n}{i}" for n in names)) for i in range(6)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "lang", *names])
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns, name
+        for r in got.collect():
+            assert tuple(r)[2:] == rows[r.doc_id][2:], name
