@@ -3,13 +3,12 @@
 Ids are counted over the whole corpus and numbered by falling frequency, so that common ids take one byte. A block holds the
 ids of consecutive documents as two byte strings: control bytes of four 2-bit lengths each, and data bytes, one to four for
 each id. It is read back by a 256-row table of lengths and a gather. Blocks are rows of Parquet files, which Spark commits
-whole and any store can hold.
+whole and any store can hold; so are the ids of the ranks and the shards' offsets.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,23 +18,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, tidy
-from .shingles import range_hash
+from .shingles import LOWER, mix
 
 #: The four lengths that a control byte stands for.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
-#: Chunks (between white space) and plain words kept by a worker; a cache is emptied when it is full.
-CACHE_CHUNKS, CACHE_WORDS = 700_000, 700_000
-#: A word of Latin letters and the ASCII signs behind it, which the tokenizer always parts and lower-cases.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
-#: Words that are given to the tokenizer as one text.
+#: Pieces and chunks kept by a worker; both are emptied when one is full. SLOTS rows of 32 bytes hold the pieces.
+CACHE_PIECES, CACHE_CHUNKS, SLOTS = 1_000_000, 200_000, 1 << 21
+#: Pieces that are given to the tokenizer as one text.
 WORDS_TOGETHER = 200
+#: Bytes of the longest piece in the table, and masks of the first 0 to 8 bytes of a word.
+WIDEST, MASKS = 24, np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Classes of bytes, ASCII.
+GAP, LETTER, SIGN, DIGIT, OTHER = range(5)
+CLASS = np.full(256, OTHER, np.uint8)
+CLASS[[ord(x) for x in " \n\r\t"]] = GAP
+for name, runs in ((LETTER, ("AZ", "az")), (SIGN, ("!/", ":@", "[`", "{~")), (DIGIT, ("09",))):
+    for a, b in runs:
+        CLASS[ord(a) : ord(b) + 1] = name
 #: A block is closed at so many ids; a longer document is a block of its own.
 BLOCK_IDS = 1 << 16
-SPACE = str.maketrans("\n\r\t", "   ")
-IS_SPACE = np.isin(np.arange(256), [ord(x) for x in " \n\r\t"])
-#: Texts of more characters in all are not put into arrays, which take some 60 bytes for each.
-ARRAY_CHARS = 4_000_000
-BLOCKS = "doc_ids array<long>, starts array<long>, counts array<int>, shard int, control binary, data binary"
+#: Texts of so many characters in all are encoded at a time.
+ARRAY_CHARS = 2_000_000
+BLOCKS = "shard int, start long, doc_ids array<long>, counts array<int>, control binary, data binary"
+#: Stands for a null id in the order.
+LEAST = np.iinfo(np.int64).min
 
 
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
@@ -56,104 +62,158 @@ def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
     return out.view("<u4").ravel()
 
 
+class Pieces:
+    """Ids of pieces of up to WIDEST bytes, in a table with open addressing that numpy looks up: a row holds a piece's bytes as three words and its number plus one."""
+
+    def __init__(self, kind: str):
+        self.table, self.first, self.count, self.ids, self.size, self.used = np.zeros((SLOTS, 4), np.uint64), np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1024, kind), 0, 0
+
+    @staticmethod
+    def slots(keys: np.ndarray) -> np.ndarray:
+        return (mix(keys[:, 0] + mix(keys[:, 1] + mix(keys[:, 2]))) & np.uint64(SLOTS - 1)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 where there is none."""
+        out, left, at = np.full(len(keys), -1, np.int64), np.arange(len(keys)), self.slots(keys)
+        while len(left):
+            rows = self.table[at]
+            same = (rows[:, 0] == keys[:, 0]) & (rows[:, 1] == keys[:, 1]) & (rows[:, 2] == keys[:, 2]) & (rows[:, 3] != 0)
+            out[left[same]] = rows[same, 3].astype(np.int64) - 1
+            on = np.nonzero(~same & (rows[:, 3] != 0))[0]
+            left, keys, at = left[on], keys[on], (at[on] + 1) & (SLOTS - 1)
+        return out
+
+    def put(self, keys: np.ndarray, numbers: np.ndarray) -> None:
+        """Keys that differ and are not there yet."""
+        at = self.slots(keys)
+        while len(keys):
+            free = np.nonzero(self.table[at, 3] == 0)[0]
+            first = free[np.unique(at[free], return_index=True)[1]]  # of those that meet at a free row one gets it
+            self.table[at[first], :3], self.table[at[first], 3] = keys[first], numbers[first].astype(np.uint64) + np.uint64(1)
+            on = np.ones(len(keys), bool)
+            on[first] = False
+            keys, numbers, at = keys[on], numbers[on], (at[on] + 1) & (SLOTS - 1)
+
+    def learn(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """New numbers for as many pieces as there are counts; ids stand one after another."""
+        numbers = np.arange(self.size, self.size + len(counts))
+        grown = lambda x, n: x if n <= len(x) else np.concatenate([x, np.zeros(max(n - len(x), len(x)), x.dtype)])
+        self.size, self.used, at = self.size + len(counts), self.used + len(ids), self.used
+        self.first, self.count, self.ids = grown(self.first, self.size), grown(self.count, self.size), grown(self.ids, self.used)
+        self.first[numbers], self.count[numbers], self.ids[at : self.used] = at + np.cumsum(counts) - counts, counts, ids
+        return numbers
+
+
 class Chunked:
-    """A tokenizer whose words never reach over white space: chunks are encoded once and kept.
+    """A tokenizer whose words never reach over white space.
 
-    Most chunks are a word and signs; of those only the lower-cased word and the signs are given to the tokenizer.
+    Texts are cut into pieces by classes of bytes: runs of Latin letters, runs of ASCII signs and single digits, of which the
+    tokenizer makes words of their own, lower-cased. A chunk between white space with anything else in it is one piece. Each
+    different piece is given to the tokenizer once and kept; the rest is array lookups.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer, self.cache, self.words = Tokenizer.from_file(path), {}, {}
-        self.plain = Tokenizer.from_file(path)  # for plain words and signs, which normalizing leaves alone and blanks part
+        self.tokenizer = Tokenizer.from_file(path)
+        self.plain = Tokenizer.from_file(path)  # for lower-cased pieces, which normalizing leaves alone and blanks part
         self.plain.normalizer = normalizers.Sequence([])
-        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.size = self.tokenizer.get_vocab_size()
-        probe = "Straße,", "straße", ","
-        ids = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in probe]
-        alike = ids[1] + ids[2] == self.plain.encode(" ".join(probe[1:]), add_special_tokens=False).ids
-        self.parts = alike and ids[0] == ids[1] + ids[2]  # else every chunk goes to the tokenizer whole
+        self.added = [x.content.lower().encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
+        one = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
+        probes = {"Straße,": ["straße", ","], "Ab12--c.": ["ab", "1", "2", "--", "c", "."]}
+        #: Else every chunk goes to the tokenizer whole.
+        self.parts = all(one(x) == [i for y in parts for i in one(y)] == self.plain.encode(" ".join(parts), add_special_tokens=False).ids for x, parts in probes.items())
         self.ends = np.zeros(self.size, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
+        self.pieces, self.whole = None, {}
 
-    def learn(self, items: list[str], kind: str, into: dict[str, bytes]) -> None:
-        for i in range(0, len(items), 20_000):
-            part = items[i : i + 20_000]
-            encoded = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            into.update((c, np.array(e.ids, kind).tobytes()) for c, e in zip(part, encoded, strict=True))
+    def encoded(self, items: list[str], kind: str) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of items, one after another, and how many each has."""
+        got = [np.array(e.ids, kind) for i in range(0, len(items), 20_000) for e in self.tokenizer.encode_batch_fast(items[i : i + 20_000], add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, kind), *got]), np.array([len(x) for x in got], np.int64)
 
-    def learn_words(self, words: list[str], kind: str) -> None:
-        """Plain words and runs of signs: each ends with its one token that ends a word, so that many can be encoded as one text."""
+    def encoded_plain(self, words: list[str], kind: str) -> tuple[np.ndarray, np.ndarray]:
+        """The same for plain pieces: each ends with its one token that ends a word, so that many can be encoded as one text."""
+        ids, counts = [np.zeros(0, kind)], [np.zeros(0, np.int64)]
         groups = [words[i : i + WORDS_TOGETHER] for i in range(0, len(words), WORDS_TOGETHER)]
         for group, e in zip(groups, self.plain.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, kind)
-            cuts = ((np.nonzero(self.ends[ids])[0] + 1) * ids.itemsize).tolist()
-            if len(cuts) != len(group):
-                self.learn(group, kind, self.words)
-                continue
-            raw = ids.tobytes()
-            self.words.update((w, raw[a:b]) for w, a, b in zip(group, [0, *cuts], cuts, strict=False))
-
-    def know(self, wanted: set[str], kind: str) -> None:
-        """Puts chunks into the cache."""
-        if len(self.cache) + len(wanted) > CACHE_CHUNKS:
-            self.cache.clear()
-        whole, pairs = [], []
-        for c in wanted.difference(self.cache):
-            if self.parts and (m := PLAIN.fullmatch(c)):
-                pairs.append((c, m[1].lower(), m[2]))
-            else:
-                whole.append(c)
-        self.learn(whole, kind, self.cache)
-        self.words[""] = b""
-        self.learn_words(list({w for p in pairs for w in p[1:]}.difference(self.words)), kind)
-        words = self.words
-        self.cache.update((c, words[a] + words[b]) for c, a, b in pairs)
-        if len(words) > CACHE_WORDS:
-            words.clear()
+            own = np.array(e.ids, kind)
+            n = np.diff(np.nonzero(self.ends[own])[0] + 1, prepend=0)
+            own, n = (own, n) if len(n) == len(group) else self.encoded(group, kind)
+            ids.append(own)
+            counts.append(n)
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def cut(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Lower-cased bytes, and of each piece its first byte, the byte behind it, and whether it is plain; data ends with WIDEST blanks."""
+        kind, low = CLASS[data], LOWER[data]
+        lead = np.nonzero(data == 0xC3)[0]
+        second = data[lead + 1]
+        latin = (second != 0x97) & (second != 0xB7)  # but for the signs of multiplication and division
+        lead, second = lead[latin], second[latin]
+        kind[lead] = kind[lead + 1] = LETTER
+        low[lead[second <= 0x9E] + 1] += 0x20
+        if self.added:
+            text = low.tobytes()
+            for token in self.added:
+                at = text.find(token)
+                while at >= 0:
+                    kind[at] = OTHER
+                    at = text.find(token, at + 1)
+        edges = np.diff(np.concatenate([[True], kind == GAP]).astype(np.int8))  # the last byte is a gap
+        starts, ends = np.nonzero(edges == -1)[0], np.nonzero(edges == 1)[0]
+        if not len(starts):
+            return low, starts, ends, np.zeros(0, bool)
+        hard = kind == OTHER
+        hard[:-1] |= (data[:-1] == 0x27) & (kind[1:] == LETTER)  # the tokenizer has words like 's
+        hard = np.logical_or.reduceat(hard, starts) if self.parts else np.ones(len(starts), bool)
+        size = (ends - starts)[hard]
+        kind[np.arange(size.sum()) + np.repeat(starts[hard] - (np.cumsum(size) - size), size)] = OTHER
+        bounds = np.concatenate([[0], np.nonzero((kind[1:] != kind[:-1]) | (kind[1:] == DIGIT))[0] + 1, [len(data)]])
+        own = kind[bounds[:-1]]
+        full = own != GAP
+        starts, ends = bounds[:-1][full], bounds[1:][full]
+        return low, starts, ends, (own[full] != OTHER) & (ends - starts <= WIDEST)
 
     def encode(self, texts: list[str], end: int, kind: str) -> list[bytes]:
         """The ids of each text, and the end id."""
         last = np.array([end], kind).tobytes()
-        if sum(map(len, texts)) <= ARRAY_CHARS and (got := self.encode_arrays(texts, kind)) is not None:
-            return [x + last for x in got]
-        split = [x.translate(SPACE).split(" ") for x in texts]
-        self.know({c for chunks in split for c in chunks}, kind)
-        found = self.cache.__getitem__
-        return [b"".join(map(found, chunks)) + last for chunks in split]
-
-    def encode_arrays(self, texts: list[str], kind: str) -> list[bytes] | None:
-        """Equal chunks are found by hashes and looked up once; None if two different ones share a hash."""
         parts = [t.encode() for t in texts]
-        raw = b" ".join([*parts, b""])
+        raw = b" ".join([*parts, b" " * (WIDEST + 8)])
         data = np.frombuffer(raw, np.uint8)
-        gap = IS_SPACE[data]
-        edges = np.diff(np.concatenate([[True], gap]).astype(np.int8))  # the last byte is a gap
-        starts, ends = np.nonzero(edges == -1)[0], np.nonzero(edges == 1)[0]
+        low, starts, ends, plain = self.cut(data)
         if not len(starts):
-            return [b""] * len(texts)
-        length = ends - starts
-        _, first, which = np.unique(range_hash(data, starts, ends), return_index=True, return_inverse=True)
-        model = first[which]
-        if (length != length[model]).any():
-            return None
-        at = np.nonzero(~gap)[0]
-        if (data[at] != data[at + np.repeat(starts[model] - starts, length)]).any():
-            return None
-        distinct = [raw[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        self.know(set(distinct), kind)
-        coded = [self.cache[c] for c in distinct]
-        ids = np.frombuffer(b"".join(coded), kind)
-        n = np.array([len(x) for x in coded]) // ids.itemsize
-        count = n[which]
+            return [last] * len(texts)
+        if self.pieces is None or self.pieces.size > CACHE_PIECES or len(self.whole) > CACHE_CHUNKS:
+            self.pieces, self.whole = Pieces(kind), {}
+        known, numbers = self.pieces, np.full(len(starts), -1, np.int64)
+        at = np.nonzero(plain)[0]
+        first, size = starts[at], (ends - starts)[at]
+        view = np.ndarray((len(low) - 7,), "<u8", buffer=low, strides=(1,))
+        keys = np.stack([view[first + 8 * k] & MASKS[np.clip(size - 8 * k, 0, 8)] for k in range(WIDEST // 8)], axis=1)
+        found = known.find(keys)
+        new = np.nonzero(found < 0)[0]
+        if len(new):
+            text = low.tobytes()
+            words = list({text[a:b] for a, b in zip(first[new].tolist(), ends[at[new]].tolist(), strict=True)})
+            known.put(np.frombuffer(b"".join(w.ljust(WIDEST, b"\0") for w in words), "<u8").reshape(-1, WIDEST // 8), known.learn(*self.encoded_plain([w.decode() for w in words], kind)))
+            found[new] = known.find(keys[new])
+        numbers[at] = found
+        rest = np.nonzero(~plain)[0]
+        chunks = [raw[a:b].decode() for a, b in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True)]
+        if missing := list(set(chunks).difference(self.whole)):
+            self.whole.update(zip(missing, known.learn(*self.encoded(missing, kind)).tolist(), strict=True))
+        numbers[rest] = [self.whole[c] for c in chunks]
+        count = known.count[numbers]
         stops = np.cumsum(count)
-        out = ids[np.arange(stops[-1]) + np.repeat((np.cumsum(n) - n)[which] - (stops - count), count)].tobytes()
+        out = known.ids[np.arange(stops[-1]) + np.repeat(known.first[numbers] - (stops - count), count)].tobytes()
         words = np.searchsorted(starts, np.cumsum([len(p) + 1 for p in parts]))
-        cuts = (np.concatenate([[0], stops])[words] * ids.itemsize).tolist()
-        return [out[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+        cuts = (np.concatenate([[0], stops])[words] * known.ids.itemsize).tolist()
+        return [out[a:b] + last for a, b in zip([0, *cuts], cuts, strict=False)]
 
 
 @lru_cache(maxsize=2)
@@ -161,18 +221,34 @@ def loaded(path: str) -> Chunked:
     return Chunked(path)
 
 
-def write_store(spark: SparkSession, docs: DataFrame, path: str, end: int, scratch: Scratch) -> tuple[DataFrame, np.ndarray]:
-    """Blocks of the ids of docs(doc_id, text) in ascending doc_id order, and the id of each rank.
+def shard_bounds(docs: DataFrame, shards: int) -> np.ndarray:
+    """Bounds of shards by doc_id; an id that fills several shards stands there several times."""
+    if shards < 2:
+        return np.zeros(0, np.int64)
+    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LEAST))).alias("id"))
+    return np.array(ids.approxQuantile("id", [i / shards for i in range(1, shards)], 0.2 / shards)).astype(np.int64)
+
 
-    Rows with equal doc_id follow the order of their texts' hashes; a null id comes first; a null text is empty and has the
-    end id only. The tokenizer's words must not reach over blanks, tabs or line ends.
+def shard_of(bounds: np.ndarray, ids: np.ndarray, ties: np.ndarray) -> np.ndarray:
+    """Shards in the order of ids; an id that has several bounds is shared out by its ties, evenly spread 64-bit values, in their order."""
+    base = np.searchsorted(bounds, ids, "left")
+    times = np.searchsorted(bounds, ids, "right") - base
+    return (base + np.where(times > 0, np.floor((ties / 2.0**64 + 0.5) * times).clip(0, np.maximum(times - 1, 0)) + 1, 0)).astype(np.int32)
+
+
+def write_store(spark: SparkSession, docs: DataFrame, path: str, end: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Writes the ids of docs(doc_id, text) in ascending doc_id order; the tables blocks, ranks (rank, id) and offsets (shard, offset) of the store.
+
+    Files are in order: a shard is a file, shards are ranges of doc_id, and within a file blocks follow one another. Rows with
+    equal doc_id follow the order of their texts' hashes, over several shards if there are many; a null id comes first; a null
+    or empty text has the end id only. Repeated rows are stored each. An empty table has no blocks. Long texts are blocks of their
+    own. Other columns are not read. The tokenizer's words must not reach over blanks, tabs or line ends.
     """
     size = max(loaded(path).size, end + 1)
     kind = "<u2" if size <= 1 << 16 else "<u4"
     width = np.dtype(kind).itemsize
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = docs.select(F.col("doc_id").cast("long"))
-    bounds = np.unique(ids.dropna().approxQuantile("doc_id", [i / shards for i in range(1, shards)], 0.2 / shards)).astype(np.int64) if shards > 1 else np.zeros(0, np.int64)
+    bounds = shard_bounds(docs, shards)
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .byte_bpe import chunks
@@ -180,37 +256,32 @@ def write_store(spark: SparkSession, docs: DataFrame, path: str, end: int, scrat
         encoder = loaded(path)
         for batch in batches:
             at = 0
-            for part in chunks(batch.column("text").to_pylist(), ARRAY_CHARS // 2):
+            for part in chunks(batch.column("text").to_pylist(), ARRAY_CHARS):
                 coded = encoder.encode(part, end, kind)
                 rows = batch.slice(at, len(part))
-                key = rows.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+                key = rows.column("doc_id").fill_null(LEAST).to_numpy(zero_copy_only=False)
+                shard = shard_of(bounds, key, rows.column("tie").to_numpy())
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), rows.column("tie"), pa.array(np.searchsorted(bounds, key, "right").astype(np.int32)), pa.array([len(x) // width for x in coded], pa.int32()), pa.array(coded, pa.binary())],
+                    [rows.column("doc_id"), rows.column("tie"), pa.array(shard), pa.array([len(x) // width for x in coded], pa.int32()), pa.array(coded, pa.binary())],
                     names=["doc_id", "tie", "shard", "n", "ids"],
                 )
                 at += len(part)
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Where each document starts within its shard; a shard's rows come one after another."""
-        last, total = -1, 0
+        """Where each document starts within its shard, which is the partition."""
+        total = 0
         for batch in batches:
-            shard, n = batch.column("shard").to_numpy(), batch.column("n").to_numpy().astype(np.int64)
-            start = np.cumsum(n) - n
-            first = np.concatenate([[True], shard[1:] != shard[:-1]]) if len(n) else np.zeros(0, bool)
-            run = np.cumsum(first) - 1
-            base = start[first]
-            carried = np.zeros(len(base), np.int64)
-            if len(n) and shard[0] == last:
-                carried[0] = total
-            start = start - base[run] + carried[run]
-            if len(n):
-                last, total = shard[-1], int(start[-1] + n[-1])
+            n = batch.column("n").to_numpy().astype(np.int64)
+            start = total + np.cumsum(n) - n
+            total += int(n.sum())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("shard"), pa.array(start), batch.column("n"), batch.column("ids")], names=["doc_id", "shard", "start", "n", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"))
     made = rows.mapInArrow(tidy(tokens), "doc_id long, tie long, shard int, n int, ids binary")
-    dealt = made.repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", "tie")
-    held = scratch.save(dealt.mapInArrow(tidy(numbered), "doc_id long, shard int, start long, n int, ids binary"), "ids")
+    # nothing else may refer to the shuffle: its files go as soon as the table is written
+    held = scratch.save(
+        made.repartitionById(shards, "shard").sortWithinPartitions("shard", "doc_id", "tie").drop("tie").mapInArrow(tidy(numbered), "doc_id long, shard int, start long, n int, ids binary"), "ids"
+    )
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
@@ -219,54 +290,68 @@ def write_store(spark: SparkSession, docs: DataFrame, path: str, end: int, scrat
         at = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
 
-    # at most a row for each id of the vocabulary comes to the driver
+    # at most a row for each id of the vocabulary, and one for each shard, comes to the driver
     total = np.zeros(size, np.int64)
     for r in held.select("ids").mapInArrow(tidy(counted), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         total[r.id] = r.n
     by_rank = np.lexsort((np.arange(size), -total)).astype(np.uint32)
     rank = np.empty(size, np.uint32)
     rank[by_rank] = np.arange(size, dtype=np.uint32)
+    in_shard = {r.shard: r.n for r in held.groupBy("shard").agg(F.sum(F.col("n").cast("long")).alias("n")).collect()}
+    offsets, before = [], 0
+    for shard in sorted(in_shard):
+        offsets.append((shard, before))
+        before += in_shard[shard]
+    ranks = scratch.save(spark.createDataFrame(list(enumerate(by_rank.tolist())), "rank int, id int").coalesce(1), "store/ranks", release=False)
+    starts = scratch.save(spark.createDataFrame(offsets, "shard int, offset long").coalesce(1), "store/offsets", release=False)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in BLOCKS.split(", ")]
-        types = [pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32(), pa.binary(), pa.binary()]
+        types = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
 
-        def closed(shard: int, part: list[tuple]) -> pa.RecordBatch:
-            control, data = pack(rank[np.frombuffer(b"".join(x[3] for x in part), kind)])
-            row = ([x[0] for x in part], [x[1] for x in part], [x[2] for x in part], shard, control, data)
+        def closed(shard: int, start: int, part: list[tuple]) -> pa.RecordBatch:
+            control, data = pack(rank[np.frombuffer(b"".join(x[2] for x in part), kind)])
+            row = (shard, start, [x[0] for x in part], [x[1] for x in part], control, data)
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=names)
 
         part, count, last = [], 0, None
         for batch in batches:
-            for shard, *row in zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_id", "start", "n", "ids")), strict=True):
-                if part and (shard != last or count + row[2] > BLOCK_IDS):
-                    yield closed(last, part)
+            for shard, start, *row in zip(*(batch.column(c).to_pylist() for c in ("shard", "start", "doc_id", "n", "ids")), strict=True):
+                if part and (shard != last or start != follows or count + row[1] > BLOCK_IDS):
+                    yield closed(last, begins, part)
                     part, count = [], 0
+                if not part:
+                    begins = start
                 part.append(row)
-                count, last = count + row[2], shard
+                count, last, follows = count + row[1], shard, start + row[1]
         if part:
-            yield closed(last, part)
+            yield closed(last, begins, part)
 
-    stored = scratch.save(held.mapInArrow(tidy(blocks), BLOCKS), "store")
+    # a scan can cut and pack files of ids as it likes: blocks are put into the files of their shards again
+    stored = scratch.save(held.mapInArrow(tidy(blocks), BLOCKS).repartitionById(shards, "shard").sortWithinPartitions("shard", "start"), "store/blocks")
     scratch.drop("ids")
-    return stored, by_rank
+    return stored, ranks, starts
+
+
+def open_store(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The tables of a store that write_store left in ``folder``."""
+    return tuple(spark.read.parquet(f"{folder}/{name}") for name in ("blocks", "ranks", "offsets"))
 
 
-def read_store(stored: DataFrame, by_rank: np.ndarray) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids (binary: little-endian 32-bit words)."""
-    counts = {r.shard: r.n for r in stored.select("shard", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("shard").agg(F.sum("n").alias("n")).collect()}
-    offsets, total = {}, 0
-    for shard in sorted(counts):
-        offsets[shard], total = total, total + counts[shard]
+def read_store(blocks: DataFrame, ranks: DataFrame, offsets: DataFrame) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens, ids (binary: little-endian 32-bit words), from the tables of a store alone."""
+    # a row for each id of the vocabulary and one for each shard
+    by_rank = np.array([r.id for r in sorted(ranks.collect())], np.uint32)
+    before = {r.shard: r.offset for r in offsets.collect()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_ids, starts, n, shard, control, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for shard, start, doc_ids, n, control, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids = by_rank[unpack(control, data, sum(n))].astype("<u4")
                 ends = np.cumsum(n)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc_ids, pa.int64()), pa.array(np.array(starts) + offsets[shard]), pa.array(n, pa.int64()), pa.array([ids[e - k : e].tobytes() for e, k in zip(ends, n, strict=True)], pa.binary())],
+                    [pa.array(doc_ids, pa.int64()), pa.array(before[shard] + start + ends - n), pa.array(n, pa.int64()), pa.array([ids[e - k : e].tobytes() for e, k in zip(ends, n, strict=True)], pa.binary())],
                     names=["doc_id", "start", "n_tokens", "ids"],
                 )
 
-    return stored.mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids binary")
+    return blocks.mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids binary")

@@ -37,3 +37,44 @@ def test_store(spark, texts, size):
         ids = [*tokenizer.encode(w[1] or "", add_special_tokens=False).ids, 2]
         assert (r.start, r.n_tokens, np.frombuffer(r.ids, "<u4").tolist()) == (at, len(ids), ids)
         at += len(ids)
+
+
+def test_files_are_in_order_and_stand_alone(spark):
+    """A hot id over several shards, null ids, and the files read in order by another session."""
+    import pyarrow.parquet as pq
+
+    from kinweave.llm.token_store import open_store
+
+    rows = [(7, f"hot text {i} of one id") for i in range(300)] + [(None, f"no id {i}") for i in range(60)] + [(i * 3, f"word {i} " * (i % 9)) for i in range(200)]
+    scratch = Scratch(spark, "t")
+    write_store(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(7), PATH, 2, scratch)
+    got = read_store(*open_store(spark.newSession(), f"{scratch.root}/store")).collect()
+    assert len(got) == len(rows)
+    tokenizer, texts = Chunked(PATH).tokenizer, {}
+    for d, t in rows:
+        texts.setdefault(d, []).append([*tokenizer.encode(t, add_special_tokens=False).ids, 2])
+    at = 0
+    for r in sorted(got, key=lambda r: r.start):
+        texts[r.doc_id].remove(np.frombuffer(r.ids, "<u4").tolist())
+        assert r.start == at
+        at += r.n_tokens
+    folder = f"{scratch.root}/store/blocks".removeprefix("file://")
+    import pathlib
+
+    ids, shards = [], []
+    for f in sorted(pathlib.Path(folder).glob("part-*")):
+        for b in pq.read_table(f).to_pylist():
+            ids += [-1 if d is None else d for d in b["doc_ids"]]
+            shards.append(b["shard"])
+    assert ids == sorted(-1 if d is None else d for d, _ in rows) and shards == sorted(shards) and len(set(shards)) == 4
+
+
+def test_shards_share_out_a_hot_id():
+    from kinweave.llm.token_store import shard_of
+
+    bounds, rng = np.array([5, 7, 7, 7, 9]), np.random.default_rng(0)
+    ties = rng.integers(-(1 << 63), 1 << 63, 30_000)
+    ids = rng.choice([1, 5, 6, 7, 8, 9, 10], 30_000)
+    shard = shard_of(bounds, ids, ties)
+    order = np.lexsort((ties, ids))
+    assert (np.diff(shard[order]) >= 0).all() and set(shard[ids == 7]) == {2, 3, 4} and set(shard[ids == 6]) == {1} and set(shard[ids == 10]) == {5}
