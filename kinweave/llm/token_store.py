@@ -267,21 +267,9 @@ def write_store(spark: SparkSession, docs: DataFrame, path: str, end: int, scrat
                 )
                 at += len(part)
 
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Where each document starts within its shard, which is the partition."""
-        total = 0
-        for batch in batches:
-            n = batch.column("n").to_numpy().astype(np.int64)
-            start = total + np.cumsum(n) - n
-            total += int(n.sum())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("shard"), pa.array(start), batch.column("n"), batch.column("ids")], names=["doc_id", "shard", "start", "n", "ids"])
-
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"))
     made = rows.mapInArrow(tidy(tokens), "doc_id long, tie long, shard int, n int, ids binary")
-    # nothing else may refer to the shuffle: its files go as soon as the table is written
-    held = scratch.save(
-        made.repartitionById(shards, "shard").sortWithinPartitions("shard", "doc_id", "tie").drop("tie").mapInArrow(tidy(numbered), "doc_id long, shard int, start long, n int, ids binary"), "ids"
-    )
+    held = scratch.save(made, "ids")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
@@ -314,21 +302,20 @@ def write_store(spark: SparkSession, docs: DataFrame, path: str, end: int, scrat
             row = (shard, start, [x[0] for x in part], [x[1] for x in part], control, data)
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=names)
 
-        part, count, last = [], 0, None
+        part, count, last, begins = [], 0, None, 0
         for batch in batches:
-            for shard, start, *row in zip(*(batch.column(c).to_pylist() for c in ("shard", "start", "doc_id", "n", "ids")), strict=True):
-                if part and (shard != last or start != follows or count + row[1] > BLOCK_IDS):
+            for shard, *row in zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_id", "n", "ids")), strict=True):
+                if part and (shard != last or count + row[1] > BLOCK_IDS):
                     yield closed(last, begins, part)
-                    part, count = [], 0
-                if not part:
-                    begins = start
+                    part, count, begins = [], 0, begins + count if shard == last else 0
                 part.append(row)
-                count, last, follows = count + row[1], shard, start + row[1]
+                count, last = count + row[1], shard
         if part:
             yield closed(last, begins, part)
 
-    # a scan can cut and pack files of ids as it likes: blocks are put into the files of their shards again
-    stored = scratch.save(held.mapInArrow(tidy(blocks), BLOCKS).repartitionById(shards, "shard").sortWithinPartitions("shard", "start"), "store/blocks")
+    # a partition is a shard, and a file
+    ordered = held.repartitionById(shards, "shard").sortWithinPartitions("shard", "doc_id", "tie").select("shard", "doc_id", "n", "ids")
+    stored = scratch.save(ordered.mapInArrow(tidy(blocks), BLOCKS), "store/blocks")
     scratch.drop("ids")
     return stored, ranks, starts
 
