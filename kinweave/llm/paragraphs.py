@@ -152,11 +152,12 @@ def repeated_passages(rows: DataFrame, held: DataFrame, order: DataFrame, scratc
     Of equal texts only the first one is searched: of all others every run stands earlier.
     """
     heads = held.select("rk", "marks").join(order.where("head").select("rk"), "rk", "left_semi").dropDuplicates(["rk"])
-    marks = turned(heads, "rk", "mark")
-    # written tables: a join of two shuffles without an aggregate between can be split where a passage is frequent
+    # written tables: a join of two shuffles without an aggregate between can be split where a passage is frequent, and no stage needs two workers a task
+    marks = scratch.save(turned(heads, "rk", "mark"), "marks")
     shared = scratch.save(marks.groupBy("mark").agg(F.sum(F.size("rks")).alias("times")).where("times > 1").select("mark"), "marks-shared")
     wanted = turned(with_few(marks, shared, "mark"), "mark", "rk").groupBy("rk").agg(F.flatten(F.collect_list("marks")).alias("marks")).join(order.select("rk", "o"), "rk")
     wanted = scratch.save(wanted, "wanted")
+    scratch.drop("marks")
     asked = with_few(rows.select("rk", "text"), wanted.select("rk"), "rk").dropDuplicates(["rk"])
     found = scratch.save(placed(asked.join(wanted, "rk")), "windows")
     scratch.drop("marks-shared", "wanted")
@@ -169,6 +170,19 @@ def repeated_passages(rows: DataFrame, held: DataFrame, order: DataFrame, scratc
     return ranges.join(order.select("rk", "o"), "o").select("rk", "ranges").union(copies)
 
 
+def merged(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, lo, hi) of lists of ranges: those of a row that overlap or meet are one."""
+    values, sizes = lists.flatten(), np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+    of, lo, hi = np.repeat(np.arange(len(sizes)), sizes), values.field("lo").to_numpy().astype(np.int64), values.field("hi").to_numpy().astype(np.int64)
+    order = np.lexsort((lo, of))
+    of, lo = of[order], lo[order]
+    ends = np.maximum.accumulate((of << 32) + hi[order])
+    fresh = np.ones(len(of), bool)
+    fresh[1:] = (of[1:] << 32) + lo[1:] > ends[:-1]
+    first = np.nonzero(fresh)[0]
+    return of[first], lo[first], ends[np.append(first[1:], len(of)) - 1] - (of[first] << 32) if len(of) else hi
+
+
 def without(rows: DataFrame, text: str, gone: str) -> DataFrame:
     """rows with the ranges of words in gone and the blanks behind them cut out of text, n_removed and n_spans."""
     kept = [f for f in rows.schema if f.name != gone]
@@ -176,12 +190,13 @@ def without(rows: DataFrame, text: str, gone: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, spans = batch.column(text).to_pylist(), batch.column(gone).to_pylist()
+            texts, (of, lo, hi) = batch.column(text).to_pylist(), merged(batch.column(gone))
             removed, count = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-            hit, at = [i for i, x in enumerate(spans) if x], 0
+            hit, at = np.unique(of).tolist(), 0
+            first, last = np.searchsorted(of, hit, "left"), np.searchsorted(of, hit, "right")
             for part in chunks([texts[i] for i in hit], CHUNK_CHARS):
-                own = hit[at : at + len(part)]
-                for i, (left, n, m) in zip(own, cut(part, [[(x["lo"], x["hi"]) for x in spans[i]] for i in own]), strict=True):
+                own, ranges = hit[at : at + len(part)], zip(first[at : at + len(part)], last[at : at + len(part)], strict=True)
+                for i, (left, n, m) in zip(own, cut(part, [list(zip(lo[a:b].tolist(), hi[a:b].tolist(), strict=True)) for a, b in ranges]), strict=True):
                     texts[i], removed[i], count[i] = left, n, m
                 at += len(part)
             columns = [pa.array(texts, pa.string()) if f.name == text else batch.column(f.name) for f in kept]
