@@ -21,9 +21,9 @@ from .common import tidy
 
 NONE = np.iinfo(np.int64).max
 #: Pieces kept by a worker; the cache is emptied when it is full.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 250_000
 #: Documents are taken together up to so many characters.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 1_000_000
 
 
 class ByteBPE:
