@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, licenses, media, near_dups, paragraphs, quality, substrings, token_store, url_filters
+from . import byte_bpe, decontamination, divergence, licenses, media, near_dups, paragraphs, quality, resampling, substrings, token_store, top_k, url_filters
 from .common import Scratch, documents, sha_hex, tokenizer_path
 
 
@@ -147,5 +147,73 @@ left_over AS (SELECT doc_id, CAST(len(t) AS BIGINT) AS n_words, regexp_extract(t
 SELECT doc_id, n_words, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(text) AS kept_sha256, text FROM left_over LEFT JOIN ends USING (doc_id)"""
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality, op3_url_filters, op4_media, op5_token_store, op6_near_dups, op7_decontamination, op8_byte_bpe, op9_licenses, op10_paragraph_dedup)}
-ORACLE_SQL = {"op3_url_filters": op3_sql(), "op6_near_dups": OP6_SQL, "op7_decontamination": OP7_SQL, "op10_paragraph_dedup": OP10_SQL}
+def op11_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), Scratch(spark, "op11"))
+
+
+OP11_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scores)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence_audit(documents(spark, sf_dir), Scratch(spark, "op12"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text, row_number() OVER () AS row FROM documents),
+words AS MATERIALIZED (SELECT row, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS MATERIALIZED (SELECT lang, term FROM words GROUP BY ALL HAVING count(DISTINCT row) >= 30),
+groups AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+found AS (SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+counts AS MATERIALIZED (SELECT lang, source, term, coalesce(n, 0) AS n FROM groups JOIN kept USING (lang) LEFT JOIN found USING (lang, source, term)),
+whole AS (SELECT lang, term, sum(n) AS n FROM counts GROUP BY ALL),
+p AS MATERIALIZED (SELECT *, 1 + CAST(1000000000 * (n + 5) AS HUGEINT) // (sum(n) OVER (PARTITION BY lang, source) + 5 * count(*) OVER (PARTITION BY lang, source)) AS p FROM counts),
+q AS (SELECT *, 1 + CAST(1000000000 * (n + 5) AS HUGEINT) // (sum(n) OVER (PARTITION BY lang) + 5 * count(*) OVER (PARTITION BY lang)) AS q FROM whole),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+rows AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND sums.item = b.source
+    UNION ALL SELECT p.lang, p.source, 'term', p.term, CAST(p.p - q.q AS BIGINT) FROM p JOIN q USING (lang, term) WHERE p.n > 0 AND p.p > q.q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM rows)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50"""
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = resampling.importance_resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), Scratch(spark, "op13"))
+    return got.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+#: The CRC of each different feature goes over its bytes by a table of 256 numbers, made by rule; digests are read as whole numbers.
+OP13_SQL = r"""
+WITH RECURSIVE table_of(n, k, c) AS (SELECT n, 0, n FROM range(256) t(n) UNION ALL SELECT n, k + 1, CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END FROM table_of WHERE k < 8),
+crcs AS MATERIALIZED (SELECT list(c ORDER BY n) AS t FROM table_of WHERE k = 8),
+texts AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS row, false AS target, text FROM documents UNION ALL SELECT NULL, -row_number() OVER (), true, text FROM benchmark),
+words AS MATERIALIZED (SELECT doc_id, row, target, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+features AS MATERIALIZED (SELECT row, target, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM words),
+numbers AS (SELECT f, list_transform(range(0, octet_length(encode(f))), lambda i: CAST(('0x' || substr(hex(encode(f)), 2 * i + 1, 2)) AS BIGINT)) AS b FROM (SELECT DISTINCT f FROM features)),
+bucket AS MATERIALIZED (SELECT f, xor(4294967295, list_reduce(list_prepend(4294967295, b), lambda c, x: xor(t[xor(c & 255, x) + 1], c // 256))) % 10000 AS bucket FROM numbers, crcs),
+counts AS (SELECT bucket, count(*) FILTER (NOT target) AS s, count(*) FILTER (target) AS t FROM features JOIN bucket USING (f) GROUP BY bucket),
+gains AS MATERIALIZED (SELECT bucket, CAST(floor(1000 * ln((t + 1.0::DOUBLE) * (sum(s) OVER () + 10000)::DOUBLE / ((s + 1.0::DOUBLE) * (sum(t) OVER () + 10000)::DOUBLE))) AS BIGINT) AS gain FROM counts),
+weights AS (SELECT row, count(*) AS n, sum(gain) AS total FROM features JOIN bucket USING (f) JOIN gains USING (bucket) WHERE NOT target GROUP BY row),
+noise AS (SELECT doc_id, row, len(w) AS n_words, CAST('0x' || substr(sha256('7:' || doc_id), 1, 8) AS BIGINT) AS h FROM words WHERE NOT target),
+scored AS (SELECT doc_id, n_words, coalesce(n, 0) AS n_features, coalesce(CAST(floor(total / n) AS BIGINT), 0) AS weight,
+    coalesce(CAST(floor(total / n) AS BIGINT), 0) + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM noise LEFT JOIN weights USING (row)),
+drawn AS (SELECT *, CASE WHEN n_words >= 20 THEN row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) END AS place, 25 * count(*) FILTER (n_words >= 20) OVER () // 100 AS n FROM scored)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CASE WHEN place <= n THEN place END AS rank FROM drawn"""
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_suffix_dedup, op2_quality, op3_url_filters, op4_media, op5_token_store, op6_near_dups, op7_decontamination, op8_byte_bpe, op9_licenses, op10_paragraph_dedup,
+        op11_top_k, op12_divergence, op13_resampling,
+    )
+}
+ORACLE_SQL = {
+    "op3_url_filters": op3_sql(), "op6_near_dups": OP6_SQL, "op7_decontamination": OP7_SQL, "op10_paragraph_dedup": OP10_SQL,
+    "op11_top_k": OP11_SQL, "op12_divergence": OP12_SQL, "op13_resampling": OP13_SQL,
+}
