@@ -122,28 +122,26 @@ def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "n_removed", "n_spans", sha_hex(F.coalesce("text", F.lit("")).cast("binary")).alias("kept_sha256"), "text")
 
 
+#: Places of lines and words within all documents, so far apart that no text's places reach those of the next.
+MANY = "1099511627776::HUGEINT"
+PLACE = f"doc_id * {MANY}"
 #: Lines as ranges of words, near ones linked by all pairs that share a shingle; runs of words by a digest of each; and the words that are left, with their blanks.
 OP10_SQL = rf"""
-WITH RECURSIVE tokens AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ 	-
-]+[ 	-
-]*') AS t,
-    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
-]+') AS w FROM documents),
-lines AS MATERIALIZED (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS hi FROM (SELECT doc_id, i, line, doc_id * 1000000 + i AS id, len(regexp_extract_all(line, '[^ 	-
-]+')) AS n
+WITH RECURSIVE tokens AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*') AS t,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+lines AS MATERIALIZED (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS hi FROM (SELECT doc_id, i, line, {PLACE} + i AS id, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n
     FROM (SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM tokens)))),
 source AS (SELECT id, line AS text FROM lines WHERE n >= {paragraphs.MIN_WORDS}), {sets_sql("source", 5)},
 links AS MATERIALIZED (SELECT a, b FROM shared JOIN sizes x ON x.id = a JOIN sizes y ON y.id = b WHERE 100 * shared.n >= 80 * (x.n + y.n - shared.n)),
 reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
 near AS (SELECT doc_id, hi - n AS lo, hi FROM lines JOIN (SELECT a AS id FROM reach GROUP BY a HAVING min(b) < a) USING (id)),
 runs AS MATERIALIZED (SELECT doc_id, i, md5(array_to_string(w[i + 1:i + {paragraphs.PASSAGE}], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(len(w) - {paragraphs.PASSAGE - 1})) AS i FROM tokens WHERE len(w) >= {paragraphs.PASSAGE})),
-firsts AS (SELECT h, min(doc_id * 1000000 + i) AS f FROM runs GROUP BY h HAVING count(*) > 1),
-equal AS (SELECT doc_id, CASE WHEN f // 1000000 = doc_id THEN greatest(i, f % 1000000 + {paragraphs.PASSAGE}) ELSE i END AS lo, i + {paragraphs.PASSAGE} AS hi FROM runs JOIN firsts USING (h) WHERE doc_id * 1000000 + i <> f),
+firsts AS (SELECT h, min({PLACE} + i) AS f FROM runs GROUP BY h HAVING count(*) > 1),
+equal AS (SELECT doc_id, CASE WHEN f // {MANY} = doc_id THEN greatest(i, f % {MANY} + {paragraphs.PASSAGE}) ELSE i END AS lo, i + {paragraphs.PASSAGE} AS hi FROM runs JOIN firsts USING (h) WHERE {PLACE} + i <> f),
 gone AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(range(CAST(lo AS BIGINT), CAST(hi AS BIGINT))) AS j FROM (SELECT * FROM near UNION ALL SELECT * FROM equal) WHERE lo < hi),
 ends AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (prev IS NULL OR prev < j - 1) AS n_spans FROM (SELECT doc_id, j, lag(j) OVER (PARTITION BY doc_id ORDER BY j) AS prev FROM gone) GROUP BY doc_id),
 kept AS (SELECT doc_id, string_agg(x, '' ORDER BY k) AS rest FROM (SELECT doc_id, unnest(range(len(t))) AS k, unnest(t) AS x FROM tokens) p WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = p.doc_id AND g.j = p.k) GROUP BY doc_id),
-left_over AS (SELECT doc_id, CAST(len(t) AS BIGINT) AS n_words, regexp_extract(text, '^[ 	-
-]*') || coalesce(rest, '') AS text FROM tokens LEFT JOIN kept USING (doc_id))
+left_over AS (SELECT doc_id, CAST(len(t) AS BIGINT) AS n_words, regexp_extract(text, '^[\x20\x09-\x0D]*') || coalesce(rest, '') AS text FROM tokens LEFT JOIN kept USING (doc_id))
 SELECT doc_id, n_words, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(text) AS kept_sha256, text FROM left_over LEFT JOIN ends USING (doc_id)"""
 
 
