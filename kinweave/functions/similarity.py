@@ -1,16 +1,14 @@
-"""String similarities, as Python functions over two strings and as pandas UDFs."""
+"""String similarities, as Python functions over two strings, which say what they are, and as pandas UDFs over many pairs at once."""
 
 from __future__ import annotations
 
-from functools import lru_cache
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-#: Fixed values of the weighted ratio: length ratios at which it changes, and weights.
-LONGER, MUCH_LONGER = 1.5, 8.0
-TOKEN_WEIGHT, PART_WEIGHT, SHORT_PART_WEIGHT = 0.95, 0.9, 0.6
+from . import batch
+from .batch import LONGER, MUCH_LONGER, PART_WEIGHT, SHORT_PART_WEIGHT, TOKEN_WEIGHT
 
 
 def lcs(a: str, b: str) -> int:
@@ -92,12 +90,13 @@ def jaro_winkler(a: str, b: str) -> float:
 
 
 def vectorized(function):
-    """A pandas UDF of a function of two strings; pairs that repeat in a batch are computed once. Nulls count as ''."""
+    """A pandas UDF of a function of two lists of strings; pairs that repeat in a batch are computed once. Nulls count as ''."""
 
     def apply(a, b):
         def run(a: pd.Series, b: pd.Series) -> pd.Series:
-            once = lru_cache(maxsize=100_000)(function)
-            return pd.Series([once(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
+            (x, xs), (y, ys) = (pd.factorize(s.fillna("")) for s in (a, b))
+            pairs, at = np.unique(x * np.int64(len(ys)) + y, return_inverse=True)
+            return pd.Series(function(list(xs[pairs // len(ys)]), list(ys[pairs % len(ys)]))[at], dtype="float64")
 
         run.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
         return F.pandas_udf(run, DoubleType())(a, b)  # made when used: workers import this module without a session
@@ -105,4 +104,9 @@ def vectorized(function):
     return apply
 
 
-ratio_udf, token_sort_udf, token_set_udf, partial_udf, wratio_udf, jaro_winkler_udf = map(vectorized, (ratio, token_sort, token_set, partial, wratio, jaro_winkler))
+def one_by_one(function):
+    return lambda a, b: np.array([function(x, y) for x, y in zip(a, b, strict=True)], float)
+
+
+ratio_udf, token_sort_udf, token_set_udf, partial_udf, wratio_udf = map(vectorized, (batch.ratios, batch.token_sorts, batch.token_sets, batch.partials, batch.wratios))
+jaro_winkler_udf = vectorized(one_by_one(jaro_winkler))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +11,7 @@ from ..functions import similarity as S
 from ..functions import text as T
 from ..operators import blocking, features, index, metrics, model, outputs, retrieval
 from ..sources import tables
+from ..sources.shared import shared_dir
 from ..streaming import incremental
 
 CAP, POOL, THRESHOLD = blocking.CAP, blocking.POOL, 0.5
@@ -22,16 +21,6 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.from_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; a new one only in local mode, where the session names none."""
-    path = spark.conf.get("spark.checkpoint.dir", "")
-    if not path:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir names no folder that the driver and all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="kinweave-")
-    return path.rstrip("/")
-
-
 class World:
     """Prepared records and the usual steps over them; every step is a plan, nothing is run."""
 
@@ -134,12 +123,12 @@ def rounded(rows: DataFrame, *columns: str) -> DataFrame:
 
 def char_tfidf_topk(spark, sf_dir):
     w = World(spark, sf_dir)
-    return retrieval.char_method(w.queries, w.targets, "name_core", retrieval.TOP_NAME)
+    return retrieval.one_method("char_name", w.queries, w.targets)
 
 
 def bm25_topk(spark, sf_dir):
     w = World(spark, sf_dir)
-    return retrieval.word_method(w.queries, w.targets, retrieval.TOP_WORDS)
+    return retrieval.one_method("bm25", w.queries, w.targets)
 
 
 def method_union(spark, sf_dir):
@@ -225,10 +214,30 @@ def fold_assignment(spark, sf_dir):
     return records(spark, sf_dir).where("source = 1").select("entity_id", model.fold_of(F.col("entity_id"), 3).alias("fold"))
 
 
+def balanced_folds(spark, sf_dir):
+    """Queries dealt to three folds by the numbers of their candidates."""
+    w = World(spark, sf_dir)
+    return model.balanced_folds(w.pool().groupBy("q").agg(F.count("*").alias("n")), 3)
+
+
+def fitted_vocabulary(spark, sf_dir):
+    """The 400 most frequent words and pairs of words of 150 sampled targets of each country, fewer than there are."""
+    w = World(spark, sf_dir)
+    return retrieval.METHODS["bm25"].fit(w.targets, 150, 400).terms
+
+
+def bounded_bm25_topk(spark, sf_dir):
+    """All targets, by the terms and the statistics of the fitted vocabulary."""
+    w = World(spark, sf_dir)
+    return retrieval.one_method("bm25", w.queries, w.targets, sample=150, most=400)
+
+
 def gbt_scores(spark, sf_dir):
     """Out-of-fold probabilities of the boosted classifier over the set features."""
     w = World(spark, sf_dir)
-    rows = metrics.labels(w.set_features(), w.links).cache()
+    folder = f"{shared_dir(spark)}/pairs-{uuid.uuid4().hex}"  # read again for each fold's rows and scores
+    metrics.labels(w.set_features(), w.links).write.parquet(folder)
+    rows = spark.read.parquet(folder)
     columns = [c for c in features.model_columns(rows) if c != "votes"]
     return model.cross_validate(rows, columns, 3)[1]
 
@@ -258,6 +267,6 @@ QUERIES = {
     for f in (
         linear_match, normalize_text, normalize_name, normalize_address, digit_sets, country_histogram, split_checks, blocking_keys, block_sizes, block_cap_filter, vote_counts, vote_pool_topk, rerank_topk,
         candidate_lists, term_df_idf, char_tfidf_topk, bm25_topk, method_union, pair_set_features, pair_jaro_winkler, pair_features, rank_features, labels, candidate_recall, macro_fbeta, threshold_sweep,
-        best_threshold, validator_findings, missing_extra, subset_check, hash_sample, fold_assignment, gbt_scores, streaming_matches, part_merge,
+        best_threshold, validator_findings, missing_extra, subset_check, hash_sample, fold_assignment, balanced_folds, fitted_vocabulary, bounded_bm25_topk, gbt_scores, streaming_matches, part_merge,
     )
 }

@@ -227,4 +227,24 @@ RERANKED = {
         {", ".join(f"CAST(rank() OVER (PARTITION BY x.q ORDER BY CAST(x.{c} AS FLOAT) DESC) AS DOUBLE) AS {n}_rank, round(CAST(max(CAST(x.{c} AS FLOAT)) OVER (PARTITION BY x.q) - CAST(x.{c} AS FLOAT) AS DOUBLE), 6) AS {n}_from_best" for c, n in RANKS)},
         CAST(count(*) OVER (PARTITION BY x.q) AS DOUBLE) AS candidate_count FROM chosen x JOIN feats USING (q, t) JOIN sim n ON n.a = na AND n.b = nb JOIN sim c ON c.a = ca AND c.b = cb JOIN sim d ON d.a = aa AND d.b = ab JOIN sim o ON o.a = x.oa AND o.b = x.ob""",
 }
-ORACLE_SQL = {name: f"{BASE.rstrip().rstrip(',')} {final}" for name, final in FINALS.items()} | RERANKED
+#: A sample of the targets of each country, and the most frequent of its terms.
+VOCABULARY = f"""{BASE.rstrip().rstrip(',')},
+fit_on AS (SELECT entity_id AS id, country_key FROM prep WHERE source > 1 QUALIFY row_number() OVER (PARTITION BY country_key ORDER BY md5(entity_id || '|2026'), entity_id) <= 150),
+fit_terms AS (SELECT country_key, term, count(*) AS df, sum(tf) AS times FROM wg JOIN fit_on USING (id, country_key) GROUP BY ALL),
+known AS MATERIALIZED (SELECT country_key, term, df FROM fit_terms QUALIFY row_number() OVER (PARTITION BY country_key ORDER BY times DESC, encode(term)) <= 400),
+fit_sizes AS (SELECT country_key, n, greatest(coalesce(total, 0) / n, 1.0) AS mean FROM (SELECT country_key, count(*) AS n FROM fit_on GROUP BY country_key)
+    LEFT JOIN (SELECT country_key, sum(tf) AS total FROM wg JOIN fit_on USING (id, country_key) JOIN known USING (country_key, term) GROUP BY country_key) USING (country_key)),
+known_lens AS (SELECT id, country_key, sum(tf) AS len FROM wg JOIN known USING (country_key, term) WHERE source > 1 GROUP BY ALL),
+known_w AS (SELECT wg.id, country_key, term, tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / mean)) * ln(1 + (n - df + 0.5) / (df + 0.5)) AS w FROM wg JOIN known USING (country_key, term) JOIN known_lens USING (id, country_key) JOIN fit_sizes USING (country_key) WHERE source > 1),
+known_s AS (SELECT wg.id AS q, k.id AS t, round(sum(w), 9) AS score FROM wg JOIN known_w k ON wg.country_key = k.country_key AND wg.term = k.term AND wg.source = 1 GROUP BY ALL)"""
+#: Groups are dealt one after the other: the loads of the folds are a list that each step changes at its first least place.
+FOLDS = f"""{BASE.rstrip().rstrip(',').replace("WITH d AS", "WITH RECURSIVE d AS", 1)},
+groups AS MATERIALIZED (SELECT q, n, row_number() OVER (ORDER BY n DESC, md5(q), q) AS i FROM (SELECT q, count(*) AS n FROM pool GROUP BY q)),
+steps(i, loads, fold) AS (SELECT CAST(0 AS BIGINT), CAST([0, 0, 0] AS BIGINT[]), CAST(-1 AS INTEGER) UNION ALL
+    SELECT g.i, list_transform(range(3), lambda f: loads[f + 1] + CASE WHEN f + 1 = list_position(loads, list_min(loads)) THEN g.n ELSE 0 END), CAST(list_position(loads, list_min(loads)) - 1 AS INTEGER) FROM steps JOIN groups g ON g.i = steps.i + 1)"""
+FITTED = {
+    "fitted_vocabulary": f"{VOCABULARY} SELECT * FROM known",
+    "bounded_bm25_topk": f"{VOCABULARY} SELECT q, t, score FROM known_s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, t) <= {TOP_WORDS}",
+    "balanced_folds": f"{FOLDS} SELECT q, n, fold FROM steps JOIN groups USING (i)",
+}
+ORACLE_SQL = {name: f"{BASE.rstrip().rstrip(',')} {final}" for name, final in FINALS.items()} | RERANKED | FITTED

@@ -183,6 +183,6 @@ def test_oracle(spark):
     con = duckdb.connect()
     for f in os.listdir(SF):
         con.sql(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{SF}/{f}'")
-    for name in ("linear_match", "char_tfidf_topk", "bm25_topk", "method_union", "pair_jaro_winkler", "threshold_sweep", "validator_findings"):
+    for name in ("linear_match", "char_tfidf_topk", "bm25_topk", "method_union", "pair_jaro_winkler", "threshold_sweep", "validator_findings", "fitted_vocabulary", "bounded_bm25_topk", "balanced_folds"):
         rows, want = linkage.QUERIES[name](spark, SF), con.sql(oracle.ORACLE_SQL[name])
         assert sorted(map(repr, (tuple(r[c] for c in want.columns) for r in rows.collect()))) == sorted(map(repr, want.fetchall())), name
