@@ -55,13 +55,14 @@ def main(args: list[str] | None = None) -> int:
         usage.error("sizes must be positive, folds two at least, and 0 <= part < parts")
     spark = SparkSession.builder.appName("kinweave").getOrCreate()
     queries, targets = tables.load_split(spark, a.data, a.prefix)
+    files = tables.file_fingerprint(spark, [*tables.split_files(a.data, a.prefix), *([a.truth] if a.command == "train" else [])]) if a.command in ("train", "predict") else None
     if a.command == "train":
         settings = {s: x for p in PATHS.values() for s in p.settings if (x := getattr(a, s)) is not None}
-        print(json.dumps(runs.train(spark, queries, targets, tables.read_tsv(spark, a.truth), a.work, a.sample, a.folds, a.trees, a.rate, a.path, **settings), sort_keys=True))
+        print(json.dumps(runs.train(spark, queries, targets, tables.read_tsv(spark, a.truth), a.work, a.sample, a.folds, a.trees, a.rate, a.path, files, **settings), sort_keys=True))
     elif a.command == "benchmark":
         print(json.dumps(runs.benchmark(spark, queries, a.work, a.queries, queries.count()), sort_keys=True))
     elif a.command == "predict":
-        runs.predict(spark, queries, a.work, a.out, a.part, a.parts, targets, a.batches, print)
+        runs.predict(spark, queries, a.work, a.out, a.part, a.parts, targets, a.batches, print, files)
     elif a.command == "merge":
         runs.merge(spark, queries, a.out, targets)
     else:

@@ -1,6 +1,7 @@
 """Text normalization as column expressions.
 
-Latin, Cyrillic and Greek letters are reduced to plain ones by one mapping; text of other scripts stays as it is. NFKC, for which
+Latin, Cyrillic and Greek letters are reduced to plain ones by one mapping, the scripts of India by syllables; text of other scripts
+stays as it is. NFKC, for which
 there is no built-in function, is a pandas UDF that files of records go through once, when they are loaded.
 """
 
@@ -13,6 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from . import scripts
+
 # Word lists and mappings that results depend on.
 BLANKS = ["nan", "none", "null"]
 LEGAL_SUFFIXES = ["llc", "llp", "inc", "incorporated", "corp", "corporation", "company", "co", "limited", "ltd", "private", "pvt", "plc", "pc", "l l c"]
@@ -62,7 +65,7 @@ def normalize_text(text: Column) -> Column:
 
 
 def normalize_latin(text: Column) -> Column:
-    text = F.translate(cleaned(text), ACCENTED, PLAIN)
+    text = F.translate(scripts.latin(cleaned(text)), ACCENTED, PLAIN)
     for a, b in DOUBLES:
         text = F.replace(text, F.lit(a), F.lit(b))
     return squeezed(cleaned(text))

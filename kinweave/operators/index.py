@@ -1,7 +1,8 @@
 """A persistent index of targets: prepared records and, sorted by key, the postings of the usable blocks.
 
-It is written in shards by a hash of the id. A shard counts once Spark has committed it, so a build that was stopped goes on with
-the shards that lack; a manifest holds a fingerprint of the targets, and others are refused.
+Records are dealt to shards by a hash of the id, as many as their number asks for. A shard's postings count once Spark has committed
+them, so a build that was stopped goes on with the shards that lack; a manifest holds a fingerprint of the targets, and others are
+refused.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 from ..sources.tables import checked, fingerprint
 from . import blocking
 
-VERSION, SHARDS = 1, 8
+#: Targets of a shard, about, and files that a shard's records are dealt to.
+VERSION, SHARD, FILES = 2, 1_000_000, 8
 
 
 @dataclass
@@ -47,24 +49,28 @@ def kept(spark: SparkSession, path: str, value: dict) -> None:
         spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
-def missing_shards(spark: SparkSession, folder: str, shards: int = SHARDS) -> list[int]:
+def missing_shards(spark: SparkSession, folder: str, shards: int) -> list[int]:
     return [i for i in range(shards) if not exists(spark, f"{folder}/postings/shard={i}/_SUCCESS")]
 
 
-def build(spark: SparkSession, targets: DataFrame, folder: str, cap: int = blocking.CAP, shards: int = SHARDS) -> Index:
+def build(spark: SparkSession, targets: DataFrame, folder: str, cap: int = blocking.CAP, shards: int | None = None) -> Index:
     """The index of targets in folder, built or completed.
 
-    Repeated or empty ids, or no rows, raise before anything is written; so do targets or settings other than those of an
-    earlier build.
+    Targets are read once and written prepared, dealt to shards of about SHARD rows or to as many as are asked for; postings are
+    made of one shard after the other. Repeated or empty ids, or no rows, raise before anything is written; so do targets or
+    settings other than those of an earlier build.
     """
-    targets = checked(targets)
-    kept(spark, f"{folder}/manifest", {"version": VERSION, "cap": cap, "shards": shards, "targets": fingerprint(targets)})
-    prepared = blocking.prepare(targets).withColumn("shard", F.pmod(F.xxhash64("entity_id"), F.lit(shards)).cast("int"))
+    targets, known = checked(targets), manifest(spark, folder) if exists(spark, f"{folder}/manifest/_SUCCESS") else {}
+    digest = fingerprint(targets)
+    shards = shards or known.get("shards") or -(-int(digest.split("-")[0]) // SHARD)
+    kept(spark, f"{folder}/manifest", {"version": VERSION, "cap": cap, "shards": shards, "targets": digest})
+    if not exists(spark, f"{folder}/records/_SUCCESS"):
+        shard = F.pmod(F.xxhash64("entity_id"), F.lit(shards)).cast("int")
+        blocking.prepare(targets).withColumn("shard", shard).repartition(F.col("shard"), F.pmod(F.xxhash64(F.reverse("entity_id")), F.lit(FILES))).write.mode("overwrite").partitionBy("shard").parquet(f"{folder}/records")
+    # the records are read again, so that both parts of a shard hold the same rows; a shard is a folder, of which only its files are listed
+    records = spark.read.parquet(f"{folder}/records")
     for i in missing_shards(spark, folder, shards):
-        mine = prepared.where(F.col("shard") == i).drop("shard")
-        mine.write.mode("overwrite").parquet(f"{folder}/records/shard={i}")
-        # the records are read again, so that both parts of a shard hold the same rows
-        keys = blocking.blocking_keys(spark.read.parquet(f"{folder}/records/shard={i}"))
+        keys = blocking.blocking_keys(records.where(F.col("shard") == i).drop("shard"))
         keys.repartition("key").sortWithinPartitions("key", "entity_id").write.mode("overwrite").parquet(f"{folder}/postings/shard={i}")
     if not exists(spark, f"{folder}/usable/_SUCCESS"):
         postings = spark.read.parquet(f"{folder}/postings").drop("shard")

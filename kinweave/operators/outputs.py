@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,7 +64,7 @@ def validate_file(spark: SparkSession, path: str, columns: list[str], required:
             return ["the file is not UTF-8"]
         lines = lines.where("trim(value) <> ''")
         first = lines.first()
-    except Exception as failure:  # a missing or unreadable file is a finding
+    except (PySparkException, Py4JJavaError) as failure:  # a missing or unreadable file is a finding; other failures are failures
         return [f"the file can't be read: {type(failure).__name__}"]
     head = "\t".join(columns)
     if first is None:

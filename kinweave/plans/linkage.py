@@ -45,7 +45,8 @@ class World:
         return self.set_features().select("q", "t", model.linear_score().alias("probability"))
 
     def matches(self) -> DataFrame:
-        return self.scored().where(F.col("probability") >= THRESHOLD)
+        """A filter on the score itself would stand in the join's condition, with the whole expression once for each use; an aggregate is worked out once."""
+        return self.scored().groupBy("q", "t").agg(F.max("probability").alias("probability")).where(F.col("probability") >= THRESHOLD)
 
     def damaged(self) -> DataFrame:
         """Result rows with faults of each kind, by rules on the ids."""
@@ -66,6 +67,14 @@ def normalize_address(spark, sf_dir):
     return World(spark, sf_dir).prepared.select("entity_id", "address_norm")
 
 
+def indic_names(spark, sf_dir):
+    """Names as a northern script would spell them, letter by letter, and back in Latin letters: vowels become signs, and consonants get one of their own where none follows."""
+    rows, spelt = World(spark, sf_dir).prepared, F.translate("name_norm", "bcdghjklmnprstvwyaeiou", "बकदगहजकलमनपरसतववयाेिोु")
+    for a, b in (("f", "फ़"), ("q", "क़"), ("z", "ज़"), ("x", "क्ष")):
+        spelt = F.replace(spelt, F.lit(a), F.lit(b))
+    return rows.select("entity_id", spelt.alias("spelt")).select("entity_id", "spelt", T.normalize_latin(F.col("spelt")).alias("name_latin"))
+
+
 def digit_sets(spark, sf_dir):
     runs = F.array_sort(F.array_distinct(T.digit_runs(T.normalize_latin(F.col("business_address")))))
     return records(spark, sf_dir).select("entity_id", F.array_join(runs, ",").alias("digits"))
@@ -187,7 +196,7 @@ def best_threshold(spark, sf_dir):
 def linear_match(spark, sf_dir):
     """The flagship: every reference record with its matches by the blocking path and the linear score."""
     w = World(spark, sf_dir)
-    return outputs.id_lists(w.queries, w.matches(), "matched_entity_ids")
+    return outputs.id_lists(w.queries, w.scored().select("q", F.when(F.col("probability") >= THRESHOLD, F.col("t")).alias("t")), "matched_entity_ids")  # the score is worked out once; nulls are in no list
 
 
 def validator_findings(spark, sf_dir):
@@ -265,7 +274,7 @@ def part_merge(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        linear_match, normalize_text, normalize_name, normalize_address, digit_sets, country_histogram, split_checks, blocking_keys, block_sizes, block_cap_filter, vote_counts, vote_pool_topk, rerank_topk,
+        linear_match, normalize_text, normalize_name, normalize_address, indic_names, digit_sets, country_histogram, split_checks, blocking_keys, block_sizes, block_cap_filter, vote_counts, vote_pool_topk, rerank_topk,
         candidate_lists, term_df_idf, char_tfidf_topk, bm25_topk, method_union, pair_set_features, pair_jaro_winkler, pair_features, rank_features, labels, candidate_recall, macro_fbeta, threshold_sweep,
         best_threshold, validator_findings, missing_extra, subset_check, hash_sample, fold_assignment, balanced_folds, fitted_vocabulary, bounded_bm25_topk, gbt_scores, streaming_matches, part_merge,
     )

@@ -242,7 +242,14 @@ FOLDS = f"""{BASE.rstrip().rstrip(',').replace("WITH d AS", "WITH RECURSIVE d AS
 groups AS MATERIALIZED (SELECT q, n, row_number() OVER (ORDER BY n DESC, md5(q), q) AS i FROM (SELECT q, count(*) AS n FROM pool GROUP BY q)),
 steps(i, loads, fold) AS (SELECT CAST(0 AS BIGINT), CAST([0, 0, 0] AS BIGINT[]), CAST(-1 AS INTEGER) UNION ALL
     SELECT g.i, list_transform(range(3), lambda f: loads[f + 1] + CASE WHEN f + 1 = list_position(loads, list_min(loads)) THEN g.n ELSE 0 END), CAST(list_position(loads, list_min(loads)) - 1 AS INTEGER) FROM steps JOIN groups g ON g.i = steps.i + 1)"""
+#: Letters go over one by one: a consonant gets an a before a letter that is no vowel, and as a word of its own.
+INDIC = f"""{BASE.rstrip().rstrip(',')},
+made AS (SELECT entity_id, name_norm, replace(replace(replace(replace(translate(name_norm, 'bcdghjklmnprstvwyaeiou', 'बकदगहजकलमनपरसतववयाेिोु'), 'f', 'फ़'), 'q', 'क़'), 'z', 'ज़'), 'x', 'क्ष') AS spelt,
+    array_to_string(list_transform(string_split(name_norm, ''), lambda c, i: CASE c WHEN 'x' THEN 'ksh' WHEN 'c' THEN 'k' WHEN 'w' THEN 'v' ELSE c END ||
+        CASE WHEN NOT regexp_matches(c, '[b-df-hj-np-tv-z]') OR regexp_matches(substr(name_norm, i + 1, 1), '[aeiou]') THEN '' WHEN regexp_matches(substr(name_norm, i + 1, 1), '\\p{{L}}') THEN 'a'
+        WHEN c = 'x' OR i > 1 AND regexp_matches(substr(name_norm, i - 1, 1), '\\p{{L}}') THEN '' ELSE 'a' END), '') AS back FROM prep)"""
 FITTED = {
+    "indic_names": f"{INDIC} SELECT entity_id, spelt, CASE WHEN back IN ('nan', 'none', 'null') THEN '' ELSE back END AS name_latin FROM made",
     "fitted_vocabulary": f"{VOCABULARY} SELECT * FROM known",
     "bounded_bm25_topk": f"{VOCABULARY} SELECT q, t, score FROM known_s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, t) <= {TOP_WORDS}",
     "balanced_folds": f"{FOLDS} SELECT q, n, fold FROM steps JOIN groups USING (i)",

@@ -31,10 +31,10 @@ def read_json(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(path).first().value)
 
 
-def train(spark: SparkSession, queries: DataFrame, targets: DataFrame, truth: DataFrame, work: str, sample: int = 2000, folds: int = 3, trees: int = 30, rate: float = 0.15, path: str = "blocking", **settings: int | None) -> dict:
+def train(spark: SparkSession, queries: DataFrame, targets: DataFrame, truth: DataFrame, work: str, sample: int = 2000, folds: int = 3, trees: int = 30, rate: float = 0.15, path: str = "blocking", files: str | None = None, **settings: int | None) -> dict:
     """Indexes targets, finds candidates of a sample of labelled queries, cross-validates and tunes the threshold.
 
-    path and settings are those of plans.paths. Leaves in ``work``: index, pairs (Parquet), models, thresholds (CSV with a
+    path and settings are those of plans.paths; files, a digest of the files that were read, is kept with the models. Leaves in ``work``: index, pairs (Parquet), models, thresholds (CSV with a
     header) and metrics (JSON), which it returns.
     """
     way = PATHS[path]
@@ -52,25 +52,26 @@ def train(spark: SparkSession, queries: DataFrame, targets: DataFrame, truth: Da
     sweep = metrics.threshold_sweep(scored, known, links)
     sweep.coalesce(1).write.mode("overwrite").csv(f"{work}/thresholds", header=True)  # a row for each threshold
     best, recall = metrics.best_threshold(sweep).first(), metrics.candidate_recall(rows, known, links).first()
-    about = {"path": path, "settings": settings, "columns": columns}
+    about = {"path": path, "settings": settings, "columns": columns, "files": files}
     model.save(models, f"{work}/models", about | {"threshold": best.threshold})
     found = {"threshold": best.threshold, "macro_fbeta": best.macro_fbeta, "folds": len(models), "pairs": rows.count(), "queries": chosen.count()} | recall.asDict() | about
     write_json(spark, f"{work}/metrics", found)
     return found
 
 
-def predict(spark: SparkSession, queries: DataFrame, work: str, out: str, part: int = 0, parts: int = 1, targets: DataFrame | None = None, batches: int = 1, tell: Callable[[str], None] | None = None) -> None:
+def predict(spark: SparkSession, queries: DataFrame, work: str, out: str, part: int = 0, parts: int = 1, targets: DataFrame | None = None, batches: int = 1, tell: Callable[[str], None] | None = None, files: str | None = None) -> None:
     """Candidates and matches of the queries of one part, by a hash of their ids, to ``out``/part=<part>/batch=<batch>.
 
     Targets other than those of the training get an index in ``out``, built or completed. A part is worked off in batches; those
-    that were committed by an earlier run are not done again. A run with other queries, targets, model or parts is refused.
+    that were committed by an earlier run are not done again. A run with other queries, targets, model or parts is refused; files, a
+    digest of the files that were read, stands for the queries' rows where it is given.
     """
     if not 0 <= part < parts or batches < 1:
         raise ValueError("0 <= part < parts, and a batch at least, are needed")
     models, about = model.load(spark, f"{work}/models")
     way, settings = PATHS[about["path"]], about["settings"]
     built, folder = index_for(spark, way, targets, f"{work}/index", f"{out}/index", settings, lambda rows: tables.fingerprint(tables.checked(rows)))
-    index.kept(spark, f"{out}/signature", {"parts": parts, "batches": batches, "model": about, "index": index.manifest(spark, folder), "queries": tables.fingerprint(queries.select(tables.FIELDS))})
+    index.kept(spark, f"{out}/signature", {"parts": parts, "batches": batches, "model": about, "index": index.manifest(spark, folder), "queries": files or tables.fingerprint(queries.select(tables.FIELDS))})
     began, done = time.time(), 0
     for batch in range(batches):
         place = f"{out}/part={part}/batch={batch}"

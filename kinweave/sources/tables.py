@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +37,7 @@ def checked(records: DataFrame) -> DataFrame:
 
 def load_split(spark: SparkSession, folder: str, prefix: str) -> tuple[DataFrame, DataFrame]:
     """The reference records and the targets of a split."""
-    one, two, three = (read_tsv(spark, f"{folder}/{prefix}_source{i}.tsv") for i in (1, 2, 3))
+    one, two, three = (read_tsv(spark, path) for path in split_files(folder, prefix))
     return unified(checked(one)), unified(checked(two.select(FIELDS).unionByName(three.select(FIELDS))))
 
 
@@ -56,10 +58,42 @@ def fingerprint(records: DataFrame) -> str:
     return f"{n}-{x}-{s}"
 
 
+#: Fixed values of a file's digest: lines are digits of a number to this base, modulo a prime.
+DIGIT, PRIME = 0x5DEECE66D2B992DDFA23249D6, (1 << 127) - 1
+
+
+def range_digests(files: DataFrame) -> DataFrame:
+    """(name, start, lines, digest) of each range of files(name, start, value) that one task reads, lines in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[str, int], list[int]] = {}
+        for batch in batches:
+            for name, start, line in zip(*(batch.column(c).to_pylist() for c in ("name", "start", "value")), strict=True):
+                one = found.setdefault((name, start), [0, 0])
+                one[0], one[1] = one[0] + 1, (one[1] * DIGIT + int.from_bytes(hashlib.sha256(line).digest()[:15])) % PRIME
+        columns = [[k[0] for k in found], [k[1] for k in found], [v[0] for v in found.values()], [f"{v[1]:x}" for v in found.values()]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["name", "start", "lines", "digest"])
+
+    return files.mapInArrow(run, "name string, start long, lines long, digest string")
+
+
 def file_fingerprint(spark: SparkSession, paths: list[str]) -> str:
-    """A digest of the names and bytes of some files, whatever their order; a file's bytes are digested where it is read, and only digests come to the driver."""
-    files = spark.read.format("binaryFile").load(paths).select(F.substring_index("path", "/", -1).alias("name"), F.sha2("content", 256).alias("digest"))
-    return hashlib.sha256("".join(f"{r.name} {r.digest}\n" for r in sorted(files.collect())).encode()).hexdigest()
+    """A digest of the names, sizes and bytes of some files, whatever their order and however Spark splits them.
+
+    Ranges of a file are digested where they are read, and their digests are joined in the order of the ranges: a digest is a number
+    whose digits are the lines, so those of two ranges give that of both. Only a row a range comes to the driver.
+    """
+    rows = spark.read.option("lineSep", "\n").text(paths).select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("name"), F.col("_metadata.file_block_start").alias("start"))
+    sizes = [f"{r.path.rpartition('/')[2]} {r.length}" for r in spark.read.format("binaryFile").load(paths).select("path", "length").collect()]
+    whole: dict[str, int] = {}
+    for r in range_digests(rows).orderBy("name", "start").collect():
+        whole[r.name] = (whole.get(r.name, 0) * pow(DIGIT, r.lines, PRIME) + int(r.digest, 16)) % PRIME
+    digests = [f"{name.rpartition('/')[2]} {digest:x}" for name, digest in whole.items()]
+    return hashlib.sha256("\n".join([*sorted(sizes), "", *sorted(digests)]).encode()).hexdigest()
+
+
+def split_files(folder: str, prefix: str) -> list[str]:
+    return [f"{folder}/{prefix}_source{i}.tsv" for i in (1, 2, 3)]
 
 
 def from_documents(docs: DataFrame) -> DataFrame:

@@ -39,6 +39,16 @@ def test_names_and_addresses(spark):
     assert [(r.n, r.a) for r in got[:2]] == [("alpha bakery", "12 main rd mp"), ("", "roadside 5 fl")] and got[2].k == "firm"
 
 
+def test_indian_scripts(spark):
+    """Nine scripts by one table; letters with dots, whole or in parts, conjuncts, digits, and the vowel that northern scripts drop at the end."""
+    words = {
+        "राम": "ram", "दिल्ली": "dilli", "मुंबई": "munbai", "कंपनी प्राइवेट": "kanpani praivet", "लक्ष्मी": "lakshmi", "ज़मीन": "zamin", "\u095bमीन": "zamin", "पढ़ाई": "parhai", "कृष्ण १२": "krishn 12", "क": "ka", "सड़क": "sarak",
+        "বাংলা": "banla", "ગુજરાત": "gujarat", "ਪੰਜਾਬ": "panjab", "தமிழ்": "tamil", "తెలుగు": "telugu", "ಕನ್ನಡ": "kannada", "കേരളം": "keralan", "Café राम": "cafe ram", "": "",
+    }
+    got = spark.createDataFrame([(w,) for w in words], "x string").select("x", T.normalize_latin(F.col("x")).alias("y")).collect()
+    assert {r.x: r.y for r in got} == words
+
+
 def plain_lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
@@ -183,6 +193,6 @@ def test_oracle(spark):
     con = duckdb.connect()
     for f in os.listdir(SF):
         con.sql(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{SF}/{f}'")
-    for name in ("linear_match", "char_tfidf_topk", "bm25_topk", "method_union", "pair_jaro_winkler", "threshold_sweep", "validator_findings", "fitted_vocabulary", "bounded_bm25_topk", "balanced_folds"):
+    for name in ("linear_match", "char_tfidf_topk", "bm25_topk", "method_union", "pair_jaro_winkler", "threshold_sweep", "validator_findings", "fitted_vocabulary", "bounded_bm25_topk", "balanced_folds", "indic_names"):
         rows, want = linkage.QUERIES[name](spark, SF), con.sql(oracle.ORACLE_SQL[name])
         assert sorted(map(repr, (tuple(r[c] for c in want.columns) for r in rows.collect()))) == sorted(map(repr, want.fetchall())), name

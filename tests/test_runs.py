@@ -27,13 +27,13 @@ def test_index(spark, tmp_path, monkeypatch):
 
     monkeypatch.setattr(blocking, "blocking_keys", failing)
     with pytest.raises(RuntimeError):
-        index.build(spark, targets, folder)
-    assert len(index.missing_shards(spark, folder)) == index.SHARDS - 2
+        index.build(spark, targets, folder, shards=4)
+    assert len(index.missing_shards(spark, folder, 4)) == 2
     with pytest.raises(ValueError):
         index.load(spark, folder)
     monkeypatch.setattr(blocking, "blocking_keys", blocks)
     built = index.build(spark, targets, folder)
-    assert index.missing_shards(spark, folder) == [] and built.records.count() == 3
+    assert index.manifest(spark, folder)["shards"] == 4 and index.missing_shards(spark, folder, 4) == [] and built.records.count() == 3
     query = blocking.prepare(spark.createDataFrame([("S1-1", "Alpha Bakery", "12 Main St", "india")], SCHEMA))
     assert [r.t for r in index.retrieve(query, built).collect()] == ["S2-1"]
     before = {p: p.stat().st_mtime_ns for p in (tmp_path / "index").rglob("*")}
@@ -112,6 +112,26 @@ def test_fingerprint_of_files(spark, tmp_path):
     assert one != tables.file_fingerprint(spark, both)
 
 
+def test_fingerprint_is_the_same_for_all_ranges(spark, tmp_path):
+    lines = [f"line {i}\tü{i * i}" for i in range(4000)]
+    path, usual = tmp_path / "rows.tsv", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    path.write_text("\r\n".join(lines) + "\n\n")
+    (tmp_path / "empty").write_text("")
+    found = set()
+    try:
+        for size in (usual, "1000", "7777", "30k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            found.add(tables.file_fingerprint(spark, [str(path), str(tmp_path / "empty")]))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", usual)
+    assert len(found) == 1
+    for other in (lines[::-1], lines[:-1] + [lines[-1] + " "]):
+        path.write_text("\r\n".join(other) + "\n\n")
+        assert tables.file_fingerprint(spark, [str(path), str(tmp_path / "empty")]) not in found
+    path.write_text("\r\n".join(lines) + "\n")  # a line break less
+    assert tables.file_fingerprint(spark, [str(path), str(tmp_path / "empty")]) not in found
+
+
 def test_progress(spark, tmp_path):
     said, targets = [], spark.createDataFrame(TARGETS, SCHEMA)
     spark.createDataFrame([("S1-1", "Alpha Bakery", "12 Main St", "india"), ("S1-2", "b", "c", "d")], SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in"))
