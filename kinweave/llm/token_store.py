@@ -236,6 +236,10 @@ def shard_of(bounds: np.ndarray, ids: np.ndarray, ties: np.ndarray) -> np.ndarra
     return (base + np.where(times > 0, np.floor((ties / 2.0**64 + 0.5) * times).clip(0, np.maximum(times - 1, 0)) + 1, 0)).astype(np.int32)
 
 
+#: Bytes of text of a shard, about, where a shard for each of Spark's partitions would hold more.
+SHARD_BYTES = 256 << 20
+
+
 def write_store(spark: SparkSession, docs: DataFrame, path: str, end: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Writes the ids of docs(doc_id, text) in ascending doc_id order; the tables blocks, ranks (rank, id) and offsets (shard, offset) of the store.
 
@@ -247,7 +251,8 @@ def write_store(spark: SparkSession, docs: DataFrame, path: str, end: int, scrat
     size = max(loaded(path).size, end + 1)
     kind = "<u2" if size <= 1 << 16 else "<u4"
     width = np.dtype(kind).itemsize
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_bytes = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // SHARD_BYTES))
     bounds = shard_bounds(docs, shards)
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
