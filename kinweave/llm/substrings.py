@@ -255,9 +255,11 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram
     if not huge.isEmpty():
         starts = F.sequence(F.lit(1), F.octet_length("part") - length + 1)
         strings = huge.select("key", "seg", "n", "part", F.explode(starts).alias("at")).select("key", "seg", "n", "at", F.expr(f"substring(part, at, {length})").alias("string"))
-        strings = strings.select("key", "seg", "n", "at", F.xxhash64("string").alias("h1"), F.crc32("string").alias("h2"))
-        often = strings.groupBy("h1", "h2").agg(F.sum("n").alias("n")).where("n > 1").select("h1", "h2")
-        places = strings.join(often, ["h1", "h2"]).select("key", "seg", (F.col("at") - 1).cast("long").alias("start"))
+        # strings of a hash of their own are alone; all others are counted by their bytes
+        strings = strings.withColumn("hash", F.xxhash64("string"))
+        able = strings.join(strings.groupBy("hash").agg(F.sum("n").alias("all")).where("all > 1").select("hash"), "hash")
+        often = able.groupBy("string").agg(F.sum("n").alias("all")).where("all > 1").select("string")
+        places = able.join(often, "string").select("key", "seg", (F.col("at") - 1).cast("long").alias("start"))
         whole = places.groupBy("key", "seg").agg(F.collect_list(F.struct("start", (F.col("start") + length).alias("stop"))).alias("spans"))
         found = found.union(whole)
     found = scratch.save(found, "found")
