@@ -96,3 +96,23 @@ def test_odd(spark):
 
 def test_table(spark, documents):
     check(spark, [(d["doc_id"], d["text"]) for d in documents[:120]])
+
+
+def test_all_blanks_and_the_sql(spark, tmp_path):
+    """Texts with every kind of blank, by the operator and by the SQL of its query."""
+    import duckdb
+
+    from kinweave.llm import queries
+
+    rng = random.Random(12)
+    blanks = [" ", "\t", "\r\n", "\v", "\f", "\n", " \r ", "\n\n"]
+    say = lambda n: "".join(rng.choice("abcdefgh") + str(rng.randrange(90)) + rng.choice(blanks) for _ in range(n))
+    passages = [say(70), say(55)]
+    rows = [(i, "".join(rng.choice([say(rng.randrange(1, 40)), rng.choice(passages), rng.choice(passages).replace("\r\n", "\f")]) for _ in range(4))) for i in range(12)]
+    rows += [(20, "\r\n \v"), (21, rows[0][1].replace("\f", "\r"))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(con.execute(f"SELECT doc_id, n_words, n_removed, n_spans, text FROM ({queries.OP10_SQL})").fetchall())
+    got = queries.op10_paragraph_dedup(spark, str(tmp_path)).select("doc_id", "n_words", "n_removed", "n_spans", "text")
+    assert sorted(map(tuple, got.collect())) == want and any(r[2] > 50 for r in want)
