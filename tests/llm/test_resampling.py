@@ -25,9 +25,10 @@ def brute(rows, target, width=2, size=10000, percent=25, least=20):
         return Counter(zlib.crc32(f.encode()) % size for t in texts for f in features(t, width)[0])
 
     s, t, out = count(r[1] for r in rows), count(target), []
+    s_all, t_all = float(sum(s.values()) + size), float(sum(t.values()) + size)
     for doc_id, text in rows:
         found, n_words = features(text, width)
-        gains = [math.floor(1000 * math.log((t[b] + 1) * float(sum(s.values()) + size) / ((s[b] + 1) * float(sum(t.values()) + size)))) for b in (zlib.crc32(f.encode()) % size for f in found)]
+        gains = [math.floor(1000 * math.log((t[b] + 1) * s_all / ((s[b] + 1) * t_all))) for b in (zlib.crc32(f.encode()) % size for f in found)]
         weight = sum(gains) // len(gains) if gains else 0
         h = int(hashlib.sha256(f"7:{'null' if doc_id is None else doc_id}".encode()).hexdigest()[:8], 16)
         out.append([doc_id, len(found), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), n_words, None])
@@ -52,7 +53,7 @@ def values(got):
 def test_resampling(spark, documents, texts, monkeypatch, width, size, piece):
     monkeypatch.setattr(resampling, "PIECE", piece)
     monkeypatch.setattr(resampling, "TOGETHER", 3000)
-    rows = [(i - 40, t) for i, t in enumerate(texts)] + [(None, None), (None, "a b c " * 30), (7000, " "), (7001, "word " * 40), (7001, "word " * 40), (7002, "long Été " * 20_000)]
+    rows = [(i - 40, t) for i, t in enumerate(texts)] + [(None, None), (None, "a b c " * 30), (7000, " "), (7001, "word " * 40), (7001, "word " * 40), (7002, "long Été " * 2_000)]
     target = [r["text"] for r in documents[:9]] + [None, "", "日本 a b"]
     _, got = found(spark, rows, target, width=width, size=size)
     assert values(got) == brute(rows, target, width, size)
