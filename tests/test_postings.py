@@ -153,3 +153,20 @@ def test_other_targets_get_an_index_of_their_own(spark, split, tmp_path):
     with pytest.raises(ValueError):
         runs.predict(spark, queries.limit(19), work, out, targets=other)
     assert spark.createDataFrame([], SCHEMA).count() == 0
+
+
+def test_shards_are_read_once(spark):
+    """A record is one row; a group's targets stand before its queries, which come in any number of batches and are never held together."""
+    rng, names = random.Random(5), ["country_key", "shard", "block", "asks", "id", "term", "w"]
+    sides = [[(f"{tag}{i:03}", {t: rng.random() for t in rng.sample(range(40), 6)}) for i in range(n)] for tag, n in (("t", 90), ("q", 30))]
+    rows = [("A", 0, block, asks, i, list(x), list(x.values())) for block in (0, 1) for asks in (False, True) for i, x in sides[asks]]
+    table = pa.table(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)))
+    got = pa.Table.from_batches(postings.best_of_shards(iter(table.to_batches(max_chunksize=7)), 5)).to_pylist()
+    want = brute(*([(i, "A", t, w) for i, x in sides[s] for t, w in x.items()] for s in (1, 0)), 5)
+    assert sorted((r["q"], r["t"], round(r["score"], 6)) for r in got) == sorted(want * 2)
+    long = spark.createDataFrame([("a", "A", "x", 1.0), ("a", "A", "y", 2.0), ("b", "A", "x", 3.0)], "id string, country_key string, term string, w double")
+    assert {(r.id, len(r.term), sum(r.w)) for r in postings.packed(long).collect()} == {("a", 2, 3.0), ("b", 1, 3.0)}
+    records = spark.createDataFrame([("a", "A", "x yy x x"), ("b", "A", ""), ("c", "A", None)], "entity_id string, country_key string, name string")
+    counts = retrieval.term_counts(records, retrieval.tokens(retrieval.F.col("name")))
+    assert sorted((r.id, r.term, r.tf) for r in counts.collect()) == [("a", "x", 3), ("a", "yy", 1)]
+    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
