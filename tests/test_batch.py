@@ -49,3 +49,22 @@ def test_bounds_are_no_less_than_any_length():
         which = windows.first()
         windows.told(which, lengths[which])
         assert (lengths <= windows.most).all()
+
+
+def test_equal_to_single_pairs_of_names(monkeypatch):
+    """Jaro-Winkler similarities and edit distances of many pairs, also of texts of over a word of 64 bits."""
+    monkeypatch.setattr(batch, "TOGETHER", 100)
+    rng = random.Random(3)
+    a, b = texts(rng, 350) + ["", "", "x", "martha", "a" * 65, "ab" * 64], texts(rng, 350) + ["", "x", "", "marhta", "a" * 130, "ba" * 70]
+
+    def edits(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            old, row[0] = row[0], i
+            for j, e in enumerate(y, 1):
+                old, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, old + (c != e))
+        return row[-1]
+
+    assert batch.jaro_winklers(a, b).tolist() == [S.jaro_winkler(x, y) for x, y in zip(a, b, strict=True)]
+    assert batch.levenshteins(a, b).tolist() == [edits(x, y) for x, y in zip(a, b, strict=True)]
+    assert batch.jaro_winklers([], []).tolist() == batch.levenshteins([], []).tolist() == []
