@@ -19,7 +19,7 @@ SCHEMA = ", ".join(f"{c} string" for c in FIELDS)
 def match_batch(queries: DataFrame, index: Index, threshold: float, pool: int = blocking.POOL) -> DataFrame:
     """source1_entity_id, candidate_entity_ids, matched_entity_ids of every query; queries don't depend on each other."""
     prepared = blocking.prepare(queries)
-    pairs = blocking.count_votes(blocking.blocking_keys(prepared), index.usable, pool)
+    pairs = blocking.count_votes(blocking.blocking_keys(prepared), index.usable, pool, blocking.of_side("q", prepared, features.SET_COLUMNS))
     rows = features.with_shared(blocking.with_records(pairs, prepared, index.records, features.SET_COLUMNS)).select("q", "t", *(F.round(e, 9).alias(n) for n, e in features.set_features().items())).withColumn("probability", linear_score())
     # one pass over the pairs gives both lists
     lists = rows.groupBy("q").agg(*(F.array_join(F.array_sort(F.collect_set(c)), ",").alias(n) for c, n in ((F.col("t"), "c"), (F.when(F.col("probability") >= threshold, F.col("t")), "m"))))

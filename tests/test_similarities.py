@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from kinweave.functions import batch
@@ -35,3 +36,12 @@ def test_short_windows_are_stepped_through_together(monkeypatch):
 def test_texts_of_one_and_several_words_of_bits():
     a, b = [*texts(200, 7), "a" * 64, "ab" * 40, "", "x" * 200], [*texts(200, 8), "a" * 65, "ba" * 70, "abc", "x" * 63]
     assert batch.common(a, b).tolist() == [S.lcs(x, y) for x, y in zip(a, b, strict=True)]
+
+
+def test_ratios_of_arrow_columns_know_each_text_once(monkeypatch):
+    a, b = [*texts(50, 1), None, "", None] * 20, [*texts(50, 2), "a", None, ""] * 20
+    seen, coded = [], batch.coded
+    monkeypatch.setattr(batch, "coded", lambda t: seen.append(len(t)) or coded(t))
+    assert np.array_equal(S.ratios_of(pa.array(a), pa.array(b)), [S.ratio(x or "", y or "") for x, y in zip(a, b, strict=True)])
+    assert seen == [len({x or "" for x in [*a, *b]})]
+    assert len(S.ratios_of(pa.array([], pa.string()), pa.array([], pa.string()))) == 0

@@ -43,3 +43,12 @@ def test_labels_and_recall_do_not_deal_pairs_by_target(spark):
     rows = metrics.labels(pairs, links)
     assert sorted(map(tuple, rows.collect())) == [("a", "x", 0), ("a", "y", 1), ("b", "x", 0)]
     assert not [line for line in rows._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning(q" in line and ", t" in line]
+
+
+def test_records_of_queries_are_not_joined_to_pairs(spark):
+    records = spark.createDataFrame([("q1", "a"), ("t1", "b")], "entity_id string, name string")
+    own, rows = (spark.createDataFrame([(i, "k")], "entity_id string, key string") for i in ("q1", "t1"))
+    pairs = blocking.count_votes(own, rows, 3, blocking.of_side("q", records, ["name"]))
+    both = blocking.with_records(pairs, records, records, ["name"])
+    assert [tuple(r) for r in both.select("q", "t", "votes", "q_name", "t_name").collect()] == [("q1", "t1", 1, "a", "b")]
+    assert [c for c in both.columns if c == "q_name"] == ["q_name"]
