@@ -91,4 +91,4 @@ def load(spark: SparkSession, folder: str) -> Index:
 
 def retrieve(queries: DataFrame, index: Index, pool_size: int = blocking.POOL, n: int = blocking.TOP) -> DataFrame:
     """Candidates of prepared queries: votes, a pool, and the best n by similarity."""
-    return blocking.rerank(blocking.count_votes(blocking.blocking_keys(queries), index.usable, pool_size, blocking.of_side("q", queries, blocking.RANKED)), queries, index.records, n)
+    return blocking.reranked(blocking.voted(blocking.blocking_keys(queries), index.usable, pool_size, blocking.of_side("q", queries, blocking.RANKED)), queries, index.records, n)
