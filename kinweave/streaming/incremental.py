@@ -10,7 +10,7 @@ from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from ..operators import blocking, features
 from ..operators.index import Index, build, kept
-from ..operators.model import linear_score
+from ..operators.model import LINEAR, linear_score
 from ..sources.tables import FIELDS
 
 SCHEMA = ", ".join(f"{c} string" for c in FIELDS)
@@ -19,12 +19,12 @@ SCHEMA = ", ".join(f"{c} string" for c in FIELDS)
 def match_batch(queries: DataFrame, index: Index, threshold: float, pool: int = blocking.POOL) -> DataFrame:
     """source1_entity_id, candidate_entity_ids, matched_entity_ids of every query; queries don't depend on each other."""
     prepared = blocking.prepare(queries)
-    pairs = blocking.count_votes(blocking.blocking_keys(prepared), index.usable, pool, blocking.of_side("q", prepared, features.SET_COLUMNS))
-    rows = features.with_shared(blocking.with_records(pairs, prepared, index.records, features.SET_COLUMNS)).select("q", "t", *(F.round(e, 9).alias(n) for n, e in features.set_features().items())).withColumn("probability", linear_score())
-    # one pass over the pairs gives both lists
-    lists = rows.groupBy("q").agg(*(F.array_join(F.array_sort(F.collect_set(c)), ",").alias(n) for c, n in ((F.col("t"), "c"), (F.when(F.col("probability") >= threshold, F.col("t")), "m"))))
-    ids = queries.select(F.col("entity_id").alias("q")).join(lists, "q", "left")
-    return ids.select(F.col("q").alias("source1_entity_id"), F.coalesce("c", F.lit("")).alias("candidate_entity_ids"), F.coalesce("m", F.lit("")).alias("matched_entity_ids"))
+    keys, ids = blocking.blocking_keys(prepared), queries.select(F.col("entity_id").alias("q"))
+    candidates = blocking.voted(keys, index.usable, pool, ids, "right").select("q", F.array_join(blocking.sorted_ids(), ",").alias("candidate_entity_ids"))
+    asking = blocking.voted(keys, index.usable, pool, blocking.of_side("q", prepared, features.LINEAR_COLUMNS))
+    scored = features.measured(asking, prepared, index.records, LINEAR, features.LINEAR_COLUMNS).select("q", "t", linear_score().alias("probability"))
+    matches = scored.where(F.col("probability") >= threshold).groupBy("q").agg(F.array_join(F.array_sort(F.collect_set("t")), ",").alias("m"))  # only matches are dealt by query
+    return candidates.join(matches, "q", "left").select(F.col("q").alias("source1_entity_id"), "candidate_entity_ids", F.coalesce("m", F.lit("")).alias("matched_entity_ids"))
 
 
 class Progress(StreamingQueryListener):
